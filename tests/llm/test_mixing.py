@@ -1,0 +1,110 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from splatframe.llm import mixing
+
+from . import cases
+
+
+def water(sizes):
+    """Targets by the rule as it is told: share by weight, cap, hand the excess on, again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = dict.fromkeys(order, 0.0), set(order), 1.5 * sum(sizes.values())
+    while open_ and left > 1e-9:
+        w = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += left * weight[s] / w
+        left = 0.0
+        for s in list(open_):
+            if target[s] >= 2 * sizes[s]:
+                left += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def n_words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def check(docs, rows):
+    sizes = defaultdict(int)
+    for r in docs:
+        sizes[r.source] += n_words(r.text)
+    source = {r.doc_id: r.source for r in docs if r.doc_id is not None}
+    target, taken = water(sizes), defaultdict(int)
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, n_words(r.text)) for r in docs)
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        if r.doc_id is not None:
+            assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(target[source[r.doc_id]])
+    for r in rows:
+        taken[r.target, r.source_size] += r.taken
+    for s in sizes:
+        assert any(k[1] == sizes[s] and k[0] == pytest.approx(target[s]) and v == round(k[0]) for k, v in taken.items())
+
+
+def test_query(spark):
+    docs = cases.documents(spark)
+    rows = mixing.mixed_sizes(docs).collect()
+    check(docs.collect(), rows)
+    again = mixing.mixed_sizes(docs.repartition(5)).collect()
+    key = lambda rs: Counter((r.doc_id, r.size, r.target, r.taken, tuple(r.shards)) for r in rs)
+    assert key(rows) == key(again)
+    assert mixing.mixed_sizes(cases.empty(spark)).count() == 0
+
+
+def test_one_source_holds_most(spark):
+    rows = [(i, "w " * (i % 7), "en", "a" if i % 10 else f"s{i % 3}", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    check(docs.collect(), mixing.mixed_sizes(docs).collect())
+    nothing = spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", "b", 0)], cases.SCHEMA)
+    assert {(r.size, r.target, r.taken) for r in mixing.mixed_sizes(nothing).collect()} == {(0, 0.0, 0)}
+
+
+def test_tree_splits_exactly(spark):
+    blocks = spark.createDataFrame([(f"s{i % 3}" if i % 4 else None, i) for i in range(1000)], "source string, block bigint")
+    for shards in (1, 5, 16):
+        rows = mixing.split_blocks(blocks, shards, 1).collect()
+        assert Counter((r.source, r.block) for r in rows) == Counter((r.source, r.block) for r in blocks.collect())
+        counts = Counter(r.shard for r in rows)
+        assert set(counts) == set(range(shards)) and max(counts.values()) - min(counts.values()) <= 4
+    # Of 250 blocks of a source among 1,000, a shard of 16 expects 15.6 (deviation 3.3).
+    per = Counter(r.shard for r in rows if r.source is None)
+    assert all(3 <= per[s] <= 29 for s in range(16)) and len(set(per.values())) > 3
+
+
+def test_pieces_are_disjoint_and_whole(spark):
+    docs = cases.documents(spark, extra=False).dropDuplicates(["doc_id"])
+    pieces = mixing.mix(docs, shards=3, block_words=500)
+    covered = defaultdict(list)
+    for r in pieces.where("words is not null").collect():
+        assert r.words > 0 and 0 <= r.shard < 3 and r.position is not None
+        covered[r.source, r["pass"]].append((r.start + r.from_word, r.words, r.block))
+    for (source, p), parts in covered.items():
+        at = 0
+        for begin, words, _ in sorted(parts):
+            assert begin == at, (source, p)
+            at += words
+
+
+def test_documents(spark):
+    docs = cases.documents(spark, extra=False).dropDuplicates(["doc_id"]).where("doc_id is not null")
+    want = {r.doc_id: r for r in mixing.mixed_sizes(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        assert texts[r.doc_id].startswith(r.text)
+        got[r.doc_id] += n_words(r.text)
+    assert dict(got) == {d: r.taken for d, r in want.items() if r.taken}
+
+
+def test_no_python_in_the_plan(spark):
+    docs = cases.documents(spark)
+    plan = mixing.mixed_sizes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
