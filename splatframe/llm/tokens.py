@@ -1,8 +1,10 @@
-"""Token ids of whole texts, the same as ``tokenizers`` gives, with each distinct word encoded once per worker.
+"""Token ids of whole texts, the same as ``tokenizers`` gives, with a distinct word encoded once while a worker remembers it.
 
 Both vocabularies used here never join characters across a single space or line break
 between two characters that are no white space, so a text is cut there and the parts' ids are put together.
-A text with other runs of white space is cut at such places only.
+A text with other runs of white space is cut at such places only. Neither vocabulary joins letters and punctuation, so
+a stop or comma after a word of letters is encoded apart. Words of Latin-1 letters, which normalisation leaves as they are but for
+their case, go to the library's BPE model directly; all other parts go through its whole pipeline.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ from __future__ import annotations
 import os
 import re
 
-#: Words a worker remembers.
-REMEMBERED = 300_000
+#: Parts, and words, that a worker remembers.
+REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -22,10 +24,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """What stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, letters from U+0100 on for the rest."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    *drops_space*: the vocabulary drops white space, so that a part's ids don't depend on the space before it.
+    *drops_space*: the vocabulary drops white space and case, so that a part's ids don't depend on the space before it.
     """
 
     def __init__(self, path: str, drops_space: bool = False):
@@ -34,31 +43,60 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
         self._drops = drops_space
         self._known: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._letters = _byte_letters()
+        self._marks = {c: self._whole([c])[0] for c in ("", "\n", ".", ",")}
 
     def _parts(self, text: str) -> list[str]:
-        """What *text* is cut into; each part but the first starts with the space or line break before it."""
-        if self._drops:
-            return text.replace("\n", " ").split(" ")
-        parts = _CUT.split(text)
-        return parts
+        """What *text* is cut into; where spaces count, each part but the first starts with the space or line break before it."""
+        return text.replace("\n", " ").split(" ") if self._drops else _CUT.split(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        """Ids by the library's whole pipeline."""
         import numpy as np
 
+        encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
+        return [np.array(found.ids, "<u4").tobytes() for found in encode(parts, add_special_tokens=False)]
+
+    def _word(self, word: str, spaced: bool) -> bytes:
+        """Ids of a word of Latin-1 letters, after a space or not."""
+        if self._drops:
+            word, spaced = word.lower(), False
+        key = f" {word}" if spaced else word
+        found = self._words.get(key)
+        if found is None:
+            if len(self._words) >= REMEMBERED:
+                self._words.clear()
+            letters = key if key.isascii() and not spaced else "".join(map(self._letters.__getitem__, key.encode()))
+            found = self._words[key] = b"".join(t.id.to_bytes(4, "little") for t in self._model.tokenize(letters))
+        return found
+
+    def _learn(self, parts: set[str]) -> None:
+        others = []
+        for part in parts:
+            before, word = ("", part) if self._drops or part[:1] not in (" ", "\n") else (part[0], part[1:])
+            mark = word[-1:] if word[-1:] in (".", ",") else ""
+            word = word[:-1] if mark else word
+            if word.isalpha() and max(word) <= "\xff":
+                ids = self._word(word, before == " ")
+                self._known[part] = (self._marks["\n"] if before == "\n" else b"") + ids + (self._marks[mark] if mark else b"")
+            else:
+                others.append(part)
+        for start in range(0, len(others), 4096):
+            some = others[start : start + 4096]
+            self._known.update(zip(some, self._whole(some), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._parts(t) for t in texts]
-        new = set().union(*cut) - self._known.keys()
+        used = set().union(*cut)
+        new = used - self._known.keys()
         if new:
             if len(self._known) + len(new) > REMEMBERED:
-                self._known.clear()
-                new = set().union(*cut)
-            new = sorted(new)
-            encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
-            for start in range(0, len(new), 4096):
-                some = new[start : start + 4096]
-                for part, found in zip(some, encode(some, add_special_tokens=False), strict=True):
-                    self._known[part] = np.array(found.ids, "<u4").tobytes()
+                self._known = {p: self._known[p] for p in used - new}
+            self._learn(new)
         get = self._known.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
 

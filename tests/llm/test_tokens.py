@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -12,10 +13,15 @@ from splatframe.llm.tokens import Encoder, tokenizer_path
 from . import cases
 
 
-def ids_of(name, text):
+@lru_cache
+def tokenizer(name):
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def ids_of(name, text):
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids
 
 
 TEXTS = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb c\td", "x.\nY z", "it's  'll", " a   b", "e ́x", "a\x1cb \x1c c", "<|endoftext|> <|startoftext|>", "漢字 ß İ Σ ς 😀", "\r\n a \r\n", "\n", "\n\n a"]
