@@ -2,5 +2,133 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bounds, edges, grids, knn, masks, voxels
+from ..schema import BOX, CONTACT, COVI, EDGE, VOXEL
+from ..sources import scenes
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_BOX = [*BOX[0], *BOX[1]]
+_CORNERS = [*VOXEL[0], *VOXEL[1]]
+_ENDS = [*EDGE[0], *EDGE[1]]
+K = 8
+
+
+def _boxes(**kw) -> Query:
+    kw = {"level": scenes.LEVEL, "rotnorm": True} | kw
+    return lambda spark, d: bounds.gaussian_bounds(scenes.gaussians_raw(spark, d), **kw).select("gid", *_BOX)
+
+
+def _voxel_pairs(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return voxels.voxel_pairs(scenes.voxels(spark), scenes.gaussians(spark, d), **kw)
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    return _voxel_pairs(spark, d, centroids=True).withColumn("density", F.round("density", 6))
+
+
+def _planar(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return voxels.planar_voxel_pairs(scenes.voxels(spark), scenes.gaussians(spark, d), **kw)
+
+
+def _split(keep) -> Query:
+    return lambda spark, d: keep(scenes.voxels(spark), _voxel_pairs(spark, d), "vid").select("vid")
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    points = scenes.embed_points(spark, d)
+    return knn.knn_join(points, points.withColumnRenamed("pid", "qid"), 4)
+
+
+def _rounded(name: str) -> Column:
+    """To nine places, without a negative zero."""
+    return F.when(F.abs(name) < 5e-10, F.lit(0.0)).otherwise(F.round(name, 9)).alias(name)
+
+
+def _mapping(spark: SparkSession, d: str) -> DataFrame:
+    rows = grids.box_edges(scenes.voxels(spark))
+    return grids.edge_mapping(rows, grids.unique_edges(rows))
+
+
+QUERIES: dict[str, Query] = {
+    "gs_aabb": _boxes(),
+    "gs_covi": lambda s, d: scenes.gaussians(s, d).select("gid", *COVI),
+    "gs_contact": lambda s, d: scenes.gaussians(s, d).select("gid", *sum(CONTACT, ())),
+    "gs_aabb_iso_col": _boxes(iso="iso"),
+    "gs_aabb_rotraw": _boxes(rotnorm=False),
+    "gs_aabb_floor": _boxes(level=2),
+    "voxel_grid": lambda s, d: scenes.voxels(s),
+    "box_edges_unique": lambda s, d: scenes.edges(s),
+    "box_edges_mapping": _mapping,
+    "gs_voxel_raw": lambda s, d: _voxel_pairs(s, d, ar_threshold=0.0, p_threshold=0.0),
+    "gs_voxel_pairs": _voxel_pairs,
+    "gs_voxel_iso_col": lambda s, d: voxels.voxel_pairs(scenes.voxels(s), bounds.gaussian_bounds(scenes.gaussians_raw(s, d), scenes.LEVEL, "iso", rotnorm=True), "iso"),
+    "gs_voxel_centroids": _centroids,
+    "gs_voxel_mask": lambda s, d: masks.hit_mask(scenes.voxels(s), _voxel_pairs(s, d), "vid"),
+    "voxel_hits": _split(masks.hits),
+    "voxel_misses": _split(masks.misses),
+    "hit_count": lambda s, d: masks.hit_count(masks.hit_mask(scenes.voxels(s), _voxel_pairs(s, d), "vid")),
+    "overlap_boxes": lambda s, d: masks.overlap_boxes(_voxel_pairs(s, d), scenes.voxels(s), scenes.gaussians(s, d)),
+    "density_filter": lambda s, d: _centroids(s, d).where("density > 0.001").select("vid", "gid", "density"),
+    "density_hist": lambda s, d: masks.density_histogram(_centroids(s, d)),
+    "density_max": lambda s, d: _centroids(s, d).agg(F.max("density").alias("max_density")),
+    "gs_edge_pairs": lambda s, d: edges.edge_pairs(scenes.edges(s), scenes.gaussians(s, d)),
+    "gs_edge_mask": lambda s, d: masks.hit_mask(scenes.edges(s), edges.edge_pairs(scenes.edges(s), scenes.gaussians(s, d)), "eid"),
+    "gs_edge_best": lambda s, d: edges.edge_best(scenes.edges(s), scenes.gaussians(s, d)),
+    "gs_edge_best_iso_col": lambda s, d: edges.edge_best(scenes.edges(s), bounds.gaussian_bounds(scenes.gaussians_raw(s, d), scenes.LEVEL, "iso", rotnorm=True), "iso"),
+    "best_ids": lambda s, d: edges.edge_best(scenes.edges(s), scenes.gaussians(s, d)).where("hit").select("gid").distinct(),
+    "pgs_voxel_pairs": _planar,
+    "pgs_voxel_centroids": lambda s, d: _planar(s, d, centroids=True, densities=True).select("vid", "gid", *(_rounded(c) for c in ("cx", "cy", "cz")), F.round("density", 6).alias("density")),
+    "pgs_edge_best": lambda s, d: edges.planar_edge_best(scenes.edges(s), scenes.gaussians(s, d)),
+    "knn": lambda s, d: knn.knn_join(scenes.points(s, d), scenes.queries(s, d), K),
+    "knn_exclude_self": lambda s, d: knn.knn_join(scenes.points(s, d), scenes.points(s, d).withColumnRenamed("pid", "qid"), 3, exclude_self=True),
+    "knn_embeddings": _embedded,
+    "neighbor_split": lambda s, d: masks.neighbour_split(scenes.points(s, d), knn.knn_join(scenes.points(s, d), scenes.queries(s, d), K)),
+}
+
+_ISO = {"iso": "iso"}
+_G = f"WITH {sql.bounds()}"
+_P = f"WITH {sql.voxel_pairs()}"
+_NAMED = ", ".join(c if c != "by" else "by_ AS by" for c in _ENDS)
+_HIT = "(SELECT vid FROM pair)"
+
+ORACLE_SQL: dict[str, str] = {
+    "gs_aabb": f"{_G} SELECT gid, {', '.join(_BOX)} FROM gs",
+    "gs_covi": f"{_G} SELECT gid, c0, c1, c2, c3, c4, c5 FROM gs",
+    "gs_contact": f"{_G} SELECT gid, {', '.join(sum(CONTACT, ()))} FROM gs",
+    "gs_aabb_iso_col": f"WITH {sql.bounds(**_ISO)} SELECT gid, {', '.join(_BOX)} FROM gs",
+    "gs_aabb_rotraw": f"WITH {sql.bounds(unit=False)} SELECT gid, {', '.join(_BOX)} FROM gs",
+    "gs_aabb_floor": f"WITH {sql.bounds(level=2)} SELECT gid, {', '.join(_BOX)} FROM gs",
+    "voxel_grid": f"WITH {sql.VOXELS} SELECT vid, {', '.join(_CORNERS)} FROM vox",
+    "box_edges_unique": f"WITH {sql.EDGES} SELECT eid, {_NAMED} FROM edge",
+    "box_edges_mapping": f"WITH {sql.EDGES} SELECT vid, slot, eid FROM boxed b JOIN edge e ON b.ax = e.ax AND b.ay = e.ay AND b.az = e.az AND b.bx = e.bx AND b.by_ = e.by_ AND b.bz = e.bz",
+    "gs_voxel_raw": f"WITH {sql.voxel_pairs(0, 0)} SELECT vid, gid FROM pair",
+    "gs_voxel_pairs": f"{_P} SELECT vid, gid FROM pair",
+    "gs_voxel_iso_col": f"WITH {sql.voxel_pairs(**_ISO)} SELECT vid, gid FROM pair",
+    "gs_voxel_centroids": f"{_P} SELECT vid, gid, cx, cy, cz, round(density, 6) AS density FROM pair",
+    "gs_voxel_mask": f"{_P} SELECT vid, vid IN {_HIT} AS hit FROM vox",
+    "voxel_hits": f"{_P} SELECT vid FROM vox WHERE vid IN {_HIT}",
+    "voxel_misses": f"{_P} SELECT vid FROM vox WHERE vid NOT IN {_HIT}",
+    "hit_count": f"{_P} SELECT count(*) FILTER (vid IN {_HIT}) AS n_hits, count(*) AS n_rows FROM vox",
+    "overlap_boxes": f"{_P} SELECT vid, gid, ox0, oy0, oz0, ox1, oy1, oz1 FROM pair",
+    "density_filter": f"{_P} SELECT vid, gid, round(density, 6) AS density FROM pair WHERE round(density, 6) > 0.001::DOUBLE",
+    "density_hist": f"{_P} SELECT CAST(greatest(least(floor(round(density, 6) * 100::DOUBLE), 99), 0) AS BIGINT) AS bin, count(*) AS n_rows FROM pair GROUP BY 1",
+    "density_max": f"{_P} SELECT max(round(density, 6)) AS max_density FROM pair",
+    "gs_edge_pairs": sql.EDGE_PAIRS,
+    "gs_edge_mask": sql.EDGE_MASK,
+    "gs_edge_best": sql.EDGE_BEST,
+    "gs_edge_best_iso_col": sql.EDGE_BEST.replace("11.345::DOUBLE AS lv", "iso AS lv"),
+    "best_ids": f"SELECT DISTINCT gid FROM ({sql.EDGE_BEST}) WHERE hit",
+    "pgs_voxel_pairs": f"WITH {sql.planar_voxels()} SELECT vid, gid FROM pair",
+    "pgs_voxel_centroids": f"WITH {sql.planar_voxels()} SELECT vid, gid, CASE WHEN abs(cx) < 5e-10 THEN 0::DOUBLE ELSE round(cx, 9) END AS cx, CASE WHEN abs(cy) < 5e-10 THEN 0::DOUBLE ELSE round(cy, 9) END AS cy, CASE WHEN abs(cz) < 5e-10 THEN 0::DOUBLE ELSE round(cz, 9) END AS cz, round({sql.density('(cx - mx)', '(cy - my)', '(cz - mz)', '1')}, 6) AS density FROM pair",
+    "pgs_edge_best": sql.PLANAR_EDGE_BEST,
+    "knn": sql.nearest(f"{sql.POINTS}, {sql.ASKED}", K),
+    "knn_exclude_self": sql.nearest(f"{sql.POINTS}, ask AS (SELECT pid AS qid, x, y, z FROM pts)", 3, 1),
+    "knn_embeddings": sql.nearest(sql.EMBEDDED, 4),
+    "neighbor_split": f"SELECT c_custkey AS pid, c_custkey IN (SELECT pid FROM ({sql.nearest(f'{sql.POINTS}, {sql.ASKED}', K)})) AS is_neighbor FROM customer",
+}
