@@ -27,34 +27,35 @@ def _level(b: tuple[Vec3, Vec3]) -> Column:
     return F.ceil(F.log2(side)).cast("int")
 
 
-def _clamped(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(_FAR)), F.lit(-_FAR))
+def _cell(c: Column, size: Column) -> Column:
+    return F.floor(F.greatest(F.least(c, F.lit(_FAR)), F.lit(-_FAR)) / size).cast("bigint")
 
 
 def _listed(df: DataFrame, names, others: DataFrame, tag: str) -> DataFrame:
-    """A row of *df* for each level and cell where it may meet rows whose levels are *others*' (one row with an array)."""
+    """A row of *df* for each level and cell where it may meet rows whose levels are *others*' (one row with an array).
+
+    Own columns start with ``_bp_`` and *tag*: own (level), level, first and cell by axis.
+    """
     b = box(names)
-    rows = bind(df, {f"{tag}_own": _level(b)}).join(F.broadcast(others))  # at most 71 levels
-    own = F.col(f"{tag}_own")
-    levels = F.filter(F.array_union(F.col("levels"), F.when(F.array_min("levels") <= own, F.array(own)).otherwise(F.array().cast("array<int>"))), lambda n: n >= own)
-    rows = rows.withColumn("level", F.explode(levels)).drop("levels")
-    size = F.pow(F.lit(2.0), F.col("level").cast("double"))
-    first = [F.floor(_clamped(c) / size).cast("bigint") for c in b[0]]
-    last = [F.floor(_clamped(c) / size).cast("bigint") for c in b[1]]
-    rows = rows.withColumns({f"{tag}_{a}": c for a, c in zip("ijk", first, strict=True)} | {f"{tag}_l{a}": c for a, c in zip("ijk", last, strict=True)})
-    for a in "ijk":
-        rows = rows.withColumn(f"cell_{a}", F.explode(F.sequence(f"{tag}_{a}", f"{tag}_l{a}")))
-    return rows.drop(*(f"{tag}_l{a}" for a in "ijk"))
+    own, levels, at = (f"_bp_{tag}_{n}" for n in ("own", "levels", "level"))
+    rows = bind(df, {own: _level(b)}).join(F.broadcast(others.withColumnRenamed("_bp_levels", levels)))  # a row of at most 71 levels
+    mine = F.when(F.array_min(levels) <= F.col(own), F.array(own)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn(at, F.explode(F.filter(F.array_union(F.col(levels), mine), lambda n: n >= F.col(own)))).drop(levels)
+    size = F.pow(F.lit(2.0), F.col(at).cast("double"))
+    first = {f"_bp_{tag}_first{k}": _cell(b[0][k], size) for k in range(3)}
+    rows = bind(rows, first | {f"_bp_{tag}_last{k}": _cell(b[1][k], size) for k in range(3)})
+    for k in range(3):
+        rows = rows.withColumn(f"_bp_{tag}_cell{k}", F.explode(F.sequence(f"_bp_{tag}_first{k}", f"_bp_{tag}_last{k}"))).drop(f"_bp_{tag}_last{k}")
+    return rows
 
 
 def overlap_join(left: DataFrame, left_box, right: DataFrame, right_box) -> DataFrame:
     """Pairs of rows whose boxes overlap (closed). Columns must have distinct names; boxes are named as in ``schema``."""
-    level_set = lambda df, names: df.select(_level(box(names)).alias("n")).agg(F.collect_set("n").alias("levels"))
+    level_set = lambda df, names: df.select(_level(box(names)).alias("n")).agg(F.collect_set("n").alias("_bp_levels"))
     a = _listed(left, left_box, level_set(right, right_box), "a")
-    b = _listed(right, right_box, level_set(left, left_box), "b").withColumnsRenamed({"level": "b_level"} | {f"cell_{x}": f"b_cell_{x}" for x in "ijk"})
-    on = F.col("level") == F.col("b_level")
-    for x in "ijk":
-        on &= (F.col(f"cell_{x}") == F.col(f"b_cell_{x}")) & (F.col(f"cell_{x}") == F.greatest(f"a_{x}", f"b_{x}"))
-    on &= F.col("level") == F.greatest("a_own", "b_own")
-    on &= boxes_overlap(box(left_box), box(right_box))
-    return a.join(b, on).select(*left.columns, *right.columns)
+    b = _listed(right, right_box, level_set(left, left_box), "b")
+    on = (F.col("_bp_a_level") == F.col("_bp_b_level")) & (F.col("_bp_a_level") == F.greatest("_bp_a_own", "_bp_b_own"))
+    for k in range(3):
+        cell = F.col(f"_bp_a_cell{k}")
+        on &= (cell == F.col(f"_bp_b_cell{k}")) & (cell == F.greatest(f"_bp_a_first{k}", f"_bp_b_first{k}"))
+    return a.join(b, on & boxes_overlap(box(left_box), box(right_box))).select(*left.columns, *right.columns)

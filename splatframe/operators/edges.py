@@ -47,7 +47,7 @@ def edge_pairs(edges: DataFrame, gaussians: DataFrame, iso: float | str | Column
     """eid and gid of segments that meet a Gaussian's solid ellipsoid. A tangent misses, and so does one that only ends on it."""
     rows = _candidates(edges, gaussians, [*MEAN, *COVI], iso_of(iso))
     a, b = _ends()
-    rows = bind(rows, {"meets": p.segment_hits_ellipsoid(a, b, covi(), F.col("_iso"))}).where("meets").select("eid", "gid")
+    rows = bind(rows, {"_meets": p.segment_hits_ellipsoid(a, b, covi(), F.col("_iso"))}).where("_meets").select("eid", "gid")
     return rows if max_pairs is None else rows.orderBy("eid", "gid").limit(max_pairs)
 
 
@@ -62,8 +62,8 @@ def edge_best(edges: DataFrame, gaussians: DataFrame, iso: float | str | Column
     """eid, hit and gid: the Gaussian that is densest at the middle of its chord. Densities of 0 count."""
     rows = _candidates(edges, gaussians, [*MEAN, *COVI, "opacity"], iso_of(iso))
     a, b = _ends()
-    rows = bind(rows, {"t": p.chord_middle(a, b, covi(), F.col("_iso"))}).where(F.col("t").isNotNull())
-    return _best(edges, rows.select("eid", "gid", density(point_at(a, b, F.col("t")), covi(), F.col("opacity").cast("double")).alias("density")))
+    rows = bind(rows, {"_t": p.chord_middle(a, b, covi(), F.col("_iso"))}).where(F.col("_t").isNotNull())
+    return _best(edges, rows.select("eid", "gid", density(point_at(a, b, F.col("_t")), covi(), F.col("opacity").cast("double")).alias("density")))
 
 
 def planar_edge_best(edges: DataFrame, gaussians: DataFrame, iso: float | str | Column = 11.345) -> DataFrame:
@@ -71,6 +71,6 @@ def planar_edge_best(edges: DataFrame, gaussians: DataFrame, iso: float | str |
     rows = _candidates(edges, gaussians, [*MEAN, *NORMAL, *COVI, "opacity"], iso_of(iso))
     start, mean, normal = vec(*EDGE[0]), vec(*MEAN), vec(*NORMAL)
     d = sub(vec(*EDGE[1]), start)
-    rows = bind(rows, {"t": p.disc_parameter(start, d, mean, normal, covi(), F.col("_iso"))}).where(F.col("t").isNotNull())
-    at = sub(point_at(start, vec(*EDGE[1]), F.col("t")), mean)
+    rows = bind(rows, {"_t": p.disc_parameter(start, d, mean, normal, covi(), F.col("_iso"))}).where(F.col("_t").isNotNull())
+    at = sub(point_at(start, vec(*EDGE[1]), F.col("_t")), mean)
     return _best(edges, rows.select("eid", "gid", density(at, covi(), F.col("opacity").cast("double")).alias("density")))

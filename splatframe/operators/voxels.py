@@ -47,7 +47,7 @@ def voxel_pairs(
     ratio, depth = p.overlap_ratios(p.overlap_box(own, voxel), size)
     thick = (ratio >= ar_threshold) & (depth >= p_threshold)
     meets = p.box_inside(own, voxel) | p.face_pierced(at, size, tuple(vec(*c) for c in CONTACT)) | p.cube_edge_hits(at, size, covi(), level)
-    rows = bind(rows, {"meets": F.when(thick, meets).otherwise(False)}).where("meets")
+    rows = bind(rows, {"_meets": F.when(thick, meets).otherwise(False)}).where("_meets")
     out = [F.col("vid"), F.col("gid")]
     if centroids:
         c = p.middle(p.overlap_box(own, voxel))
@@ -75,12 +75,12 @@ def planar_voxel_pairs(voxels: DataFrame, gaussians: DataFrame, iso: float | str
         return F.transform(F.array(t), lambda t: F.when(t.isNotNull(), F.struct((e["x"] + t * e["u"]).alias("x"), (e["y"] + t * e["v"]).alias("y"), (e["z"] + t * e["w"]).alias("z"))))[0]
 
     points = F.filter(F.transform(F.array(*slots), met), lambda q: q.isNotNull())
-    rows = bind(rows, {"points": F.when(p.corners_on_both_sides(voxel, mean, normal), points)})
-    rows = rows.where(F.size("points") > 0)
+    rows = bind(rows, {"_points": F.when(p.corners_on_both_sides(voxel, mean, normal), points)})
+    rows = rows.where(F.size("_points") > 0)
     out = [F.col("vid"), F.col("gid")]
     if not centroids:
         return _limited(rows.select(*out), max_pairs)
-    mean_of = lambda a: F.aggregate("points", F.lit(0.0), lambda s, q: s + q[a]) / F.size("points")
+    mean_of = lambda a: F.aggregate("_points", F.lit(0.0), lambda s, q: s + q[a]) / F.size("_points")
     total = {a: mean_of(a) for a in "xyz"}
     rows = bind(rows, {f"c{a}": c for a, c in total.items()})
     out += [F.col("cx"), F.col("cy"), F.col("cz")]
