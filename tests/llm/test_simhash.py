@@ -68,7 +68,7 @@ def test_links_join_all_near_pairs(spark, longest):
 
 
 def test_components_of_a_long_chain(spark):
-    n = 300
+    n = 80
     order = list(range(n))
     random.Random(1).shuffle(order)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001)], "a bigint, b bigint")
