@@ -15,6 +15,15 @@ import re
 #: Parts, and words, that a worker remembers.
 REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Runs that only ``_CUT`` treats rightly: doubled white space, other white space, and the mark that plain cutting uses.
+_ODD = ("  ", "\n\n", " \n", "\n ", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """Parts of *text*: each but the first starts with the single space or line break that stood between two other characters."""
+    if text[:1].isspace() or text[-1:].isspace() or any(c in text for c in _ODD):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,7 +61,7 @@ class Encoder:
 
     def _parts(self, text: str) -> list[str]:
         """What *text* is cut into; where spaces count, each part but the first starts with the space or line break before it."""
-        return text.replace("\n", " ").split(" ") if self._drops else _CUT.split(text)
+        return text.replace("\n", " ").split(" ") if self._drops else cut_at_spaces(text)
 
     def _whole(self, parts: list[str]) -> list[bytes]:
         """Ids by the library's whole pipeline."""
