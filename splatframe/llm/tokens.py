@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 #: Parts, and words, that a worker remembers.
 REMEMBERED = 400_000
@@ -40,6 +41,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class _Remembered(dict):
+    """What *make* gives for each key, made when asked for; all is forgotten at ``REMEMBERED`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self._make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        made = self[key] = self._make(key)
+        return made
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
@@ -52,62 +66,46 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
+        self._encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
+        self._tokenize = self._tokenizer.model.tokenize
         self._drops = drops_space
-        self._known: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._bytes = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
         self._letters = _byte_letters()
-        self._marks = {c: self._whole([c])[0] for c in ("", "\n", ".", ",")}
+        self._marks = {c: self._whole(c) for c in ("", "\n", ".", ",")}
+        self._known, self._words = _Remembered(self._part), _Remembered(self._word)
 
     def _parts(self, text: str) -> list[str]:
         """What *text* is cut into; where spaces count, each part but the first starts with the space or line break before it."""
         return text.replace("\n", " ").split(" ") if self._drops else cut_at_spaces(text)
 
-    def _whole(self, parts: list[str]) -> list[bytes]:
+    def _whole(self, part: str) -> bytes:
         """Ids by the library's whole pipeline."""
-        import numpy as np
-
-        encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
-        return [np.array(found.ids, "<u4").tobytes() for found in encode(parts, add_special_tokens=False)]
-
-    def _word(self, word: str, spaced: bool) -> bytes:
-        """Ids of a word of Latin-1 letters, after a space or not."""
-        if self._drops:
-            word, spaced = word.lower(), False
-        key = f" {word}" if spaced else word
-        found = self._words.get(key)
-        if found is None:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            letters = key if key.isascii() and not spaced else "".join(map(self._letters.__getitem__, key.encode()))
-            found = self._words[key] = b"".join(t.id.to_bytes(4, "little") for t in self._model.tokenize(letters))
-        return found
-
-    def _learn(self, parts: set[str]) -> None:
-        others = []
-        for part in parts:
-            before, word = ("", part) if self._drops or part[:1] not in (" ", "\n") else (part[0], part[1:])
-            mark = word[-1:] if word[-1:] in (".", ",") else ""
-            word = word[:-1] if mark else word
-            if word.isalpha() and max(word) <= "\xff":
-                ids = self._word(word, before == " ")
-                self._known[part] = (self._marks["\n"] if before == "\n" else b"") + ids + (self._marks[mark] if mark else b"")
-            else:
-                others.append(part)
-        for start in range(0, len(others), 4096):
-            some = others[start : start + 4096]
-            self._known.update(zip(some, self._whole(some), strict=True))
+        return b"".join([self._bytes[i] for i in self._encode([part], add_special_tokens=False)[0].ids])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 letters, with the space before it if there is one."""
+        if word.isascii():
+            letters = word.replace(" ", self._letters[32])
+        else:
+            letters = "".join(map(self._letters.__getitem__, word.encode()))
+        return b"".join([self._bytes[t.id] for t in self._tokenize(letters)])
+
+    def _part(self, part: str) -> bytes:
+        first, last = part[:1], part[-1:]
+        mark = last if last == "." or last == "," else ""
+        word = part[:-1] if mark else part
+        before = first if not self._drops and (first == " " or first == "\n") else ""
+        bare = word[1:] if before else word
+        if not bare.isalpha() or not (bare.isascii() or max(bare) <= "\xff"):
+            return self._whole(part)
+        ids = self._words[bare.lower() if self._drops else word if before == " " else bare]
+        if mark:
+            ids += self._marks[mark]
+        return self._marks["\n"] + ids if before == "\n" else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(t) for t in texts]
-        used = set().union(*cut)
-        new = used - self._known.keys()
-        if new:
-            if len(self._known) + len(new) > REMEMBERED:
-                self._known = {p: self._known[p] for p in used - new}
-            self._learn(new)
         get = self._known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        return [b"".join(map(get, self._parts(t))) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
