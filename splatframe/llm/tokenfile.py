@@ -2,7 +2,7 @@
 
 Documents in ascending order of doc_id, each closed by an end id, make one stream of ids. It is range-partitioned by
 doc_id and each part is one file, an Arrow stream whose batches have two fixed-size-list columns of ``LENGTH`` values: ids (uint16 or
-uint32) and mask (1 for an id, 0 for padding in the file's last row). A sequence of a memory-mapped file is a slice, at a
+uint32) and mask (a bit a value: 1 for an id, 0 for padding in the file's last row). A sequence of a memory-mapped file is a slice, at a
 computed place. Beside it stands an index stream: doc_id, start (in the file) and n_tokens of each document.
 
 Files are written under a temporary name and renamed, and hold what their part's rows determine, so a task that is
@@ -48,7 +48,7 @@ class Writer:
         self.length, self.kind, self.rest, self.written = length, kind, [], 0
         self.held = 0
         item = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_stream(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -62,8 +62,8 @@ class Writer:
             self.rest, self.held = [flat[full:]], len(flat) - full
 
     def _batch(self, flat: np.ndarray, size: int) -> None:
-        ids, mask = np.zeros(size, self.kind), np.zeros(size, np.uint8)
-        ids[: len(flat)], mask[: len(flat)] = flat, 1
+        ids, mask = np.zeros(size, self.kind), np.zeros(size, bool)
+        ids[: len(flat)], mask[: len(flat)] = flat, True
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -122,13 +122,13 @@ def write_token_files(documents: DataFrame, folder: str, length: int = LENGTH, e
 
 
 def sequence(path: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence *row* of a local token file, as views of the mapped file: nothing is copied."""
+    """Ids and mask of sequence *row* of a local token file: the ids are a view of the mapped file, the mask is unpacked from a view of its bits."""
     with pa.memory_map(path) as source:
         for batch in pa.ipc.open_stream(source):
             if row < batch.num_rows:
                 n = batch.schema.field("ids").type.list_size
-                at = slice((batch.column("ids").offset + row) * n, (batch.column("ids").offset + row + 1) * n)
-                return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[at] for c in ("ids", "mask"))
+                ids, mask = (batch.column(c).values.slice((batch.column(c).offset + row) * n, n) for c in ("ids", "mask"))
+                return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
             row -= batch.num_rows
     raise IndexError("no such sequence")
 
@@ -161,7 +161,9 @@ def _documents(tokens, index, first: int):
         nonlocal rest
         batch = tokens.read_next_batch()
         ids = batch.column("ids").values.to_numpy(zero_copy_only=True)
-        ids = ids[batch.column("mask").values.to_numpy(zero_copy_only=True) == 1]
+        mask = batch.column("mask").values
+        if mask.true_count < len(mask):
+            ids = ids[mask.to_numpy(zero_copy_only=False)]
         held.append(ids)
         rest += len(ids)
 
