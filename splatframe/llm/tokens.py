@@ -3,7 +3,7 @@
 Both vocabularies used here never join characters across a single space or line break
 between two characters that are no white space, so a text is cut there and the parts' ids are put together.
 A text with other runs of white space is cut at such places only. Neither vocabulary joins letters and punctuation, so
-a stop or comma after a word of letters is encoded apart. Words of Latin-1 letters, which normalisation leaves as they are but for
+punctuation after a word of letters is encoded apart. Words of Latin-1 letters, which normalisation leaves as they are but for
 their case, go to the library's BPE model directly; all other parts go through its whole pipeline.
 """
 
@@ -13,18 +13,20 @@ import os
 import re
 from collections.abc import Callable
 
-#: Parts, and words, that a worker remembers.
+#: Parts, and words, that a worker remembers: those met last.
 REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Runs that only ``_CUT`` treats rightly: doubled white space, other white space, and the mark that plain cutting uses.
-_ODD = ("  ", "\n\n", " \n", "\n ", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Runs that only ``_CUT`` treats rightly: doubled and other white space.
+_ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Punctuation that may follow a word; an apostrophe may begin an ending, so it isn't here.
+_MARKS = ".,;:!?\"#$%&()*+-/<=>@[\\]^_`{|}~"
 
 
 def cut_at_spaces(text: str) -> list[str]:
-    """Parts of *text*: each but the first starts with the single space or line break that stood between two other characters."""
+    """Parts of *text*, without the single space between two other characters that they start after; a line break in its place is kept."""
     if text[:1].isspace() or text[-1:].isspace() or any(c in text for c in _ODD):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return [p[1:] if n and p[0] == " " else p for n, p in enumerate(_CUT.split(text))]
+    return text.replace("\n", " \n").split(" ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,15 +44,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """What *make* gives for each key, made when asked for; all is forgotten at ``REMEMBERED`` keys."""
+    """What *make* gives for each key, made when asked for. Half of ``REMEMBERED`` keys are at hand; when they are that many, those before them are forgotten."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        self._make = make
+        self._make, self._before = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        made = self._before.get(key)
+        if made is None:
+            made = self._make(key)
+        if len(self) >= REMEMBERED // 2:
+            self._before = dict(self)
             self.clear()
-        made = self[key] = self._make(key)
+        self[key] = made
         return made
 
 
@@ -71,41 +77,47 @@ class Encoder:
         self._drops = drops_space
         self._bytes = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
         self._letters = _byte_letters()
-        self._marks = {c: self._whole(c) for c in ("", "\n", ".", ",")}
-        self._known, self._words = _Remembered(self._part), _Remembered(self._word)
-
-    def _parts(self, text: str) -> list[str]:
-        """What *text* is cut into; where spaces count, each part but the first starts with the space or line break before it."""
-        return text.replace("\n", " ").split(" ") if self._drops else cut_at_spaces(text)
+        self._break = self._whole("\n")
+        # A text's first part, parts after a space or line break, words, words after a space, punctuation.
+        self._firsts, self._known = _Remembered(self._first), _Remembered(self._part)
+        self._bare, self._spaced, self._marks = _Remembered(self._word), _Remembered(self._spaced_word), _Remembered(self._whole)
 
     def _whole(self, part: str) -> bytes:
         """Ids by the library's whole pipeline."""
         return b"".join([self._bytes[i] for i in self._encode([part], add_special_tokens=False)[0].ids])
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of Latin-1 letters, with the space before it if there is one."""
-        if word.isascii():
-            letters = word.replace(" ", self._letters[32])
-        else:
-            letters = "".join(map(self._letters.__getitem__, word.encode()))
-        return b"".join([self._bytes[t.id] for t in self._tokenize(letters)])
+    def _word(self, word: str, before: str = "") -> bytes:
+        """Ids of a word of Latin-1 letters."""
+        letters = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode()))
+        return b"".join([self._bytes[t.id] for t in self._tokenize(before + letters)])
 
-    def _part(self, part: str) -> bytes:
-        first, last = part[:1], part[-1:]
-        mark = last if last == "." or last == "," else ""
-        word = part[:-1] if mark else part
-        before = first if not self._drops and (first == " " or first == "\n") else ""
-        bare = word[1:] if before else word
+    def _spaced_word(self, word: str) -> bytes:
+        return self._word(word, self._letters[32])
+
+    def _first(self, part: str) -> bytes:
+        """Ids of a part that starts after nothing."""
+        bare = part.rstrip(_MARKS)
         if not bare.isalpha() or not (bare.isascii() or max(bare) <= "\xff"):
             return self._whole(part)
-        ids = self._words[bare.lower() if self._drops else word if before == " " else bare]
-        if mark:
-            ids += self._marks[mark]
-        return self._marks["\n"] + ids if before == "\n" else ids
+        ids = self._bare[bare.lower() if self._drops else bare]
+        return ids if len(bare) == len(part) else ids + self._marks[part[len(bare) :]]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part that starts after a space, or with a line break."""
+        if self._drops:
+            return self._first(part)
+        bare = part.rstrip(_MARKS)
+        if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff"):
+            ids = self._spaced[bare]
+            return ids if len(bare) == len(part) else ids + self._marks[part[len(bare) :]]
+        return self._break + self._first(part[1:]) if part[:1] == "\n" else self._whole(f" {part}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self._known.__getitem__
-        return [b"".join(map(get, self._parts(t))) for t in texts]
+        get, encoded = self._known.__getitem__, []
+        for text in texts:
+            first, *rest = text.replace("\n", " ").split(" ") if self._drops else cut_at_spaces(text)
+            encoded.append(self._firsts[first] + b"".join(map(get, rest)))
+        return encoded
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
