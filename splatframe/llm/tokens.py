@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable
 
 #: Parts, and words, that a worker remembers: those met last.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Runs that only ``_CUT`` treats rightly: doubled and other white space.
 _ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
