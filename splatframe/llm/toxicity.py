@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
 A sentence scores ``sigmoid(b + sum of its words' weights)``, a document scores the
-noisy-or of its sentences, ``1 - product(1 - p)``. The weights are fitted to labels of whole documents
-alone, through the noisy-or; afterwards each sentence's own score tells
+noisy-or of its telling sentences and of one leak term, ``1 - (1 - leak) * product(1 - p)``. A sentence tells if its
+words' weights speak for toxicity and its p is at least ``TELLING``; the others count as 0, so however many sentences a text has, they
+don't add up to a rejection. What toxic documents no weight explains is in the leak, once a document. The weights are fitted to labels of whole documents
+alone, through the noisy-or of all sentences with a feature, until the gradient vanishes; afterwards each sentence's own score tells
 which ones offend. A word's weight is the sum over its features: the word itself, its prefixes and its suffixes. Only the
 ``FEATURES`` features carry weight that speak most for toxic documents in the training sample.
 
@@ -14,7 +16,7 @@ has at most ``FEATURES`` weights.
 Defined results: a null, empty or wordless text has no sentence and scores 0. Repeated rows score alike.
 A document with several labels counts as toxic if one of them says so;
 null labels and ids don't train. Without labels, or with one class only, no word
-has a weight and a document with sentences scores about the training rate. Other columns pass.
+has a weight and a document with sentences scores the training rate. Other columns pass.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ FEATURES = 500
 ENDS = range(3, 7)
 #: A feature needs this many toxic documents, and this many standard deviations between its rates in toxic and other ones.
 LEAST_DOCS, LEAST_Z = 3, 2.5
+#: The least p of a sentence that counts in its document's score.
+TELLING = 0.25
+_TELLING_Z = math.log(TELLING / (1 - TELLING))
 SEED = 17
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -63,6 +68,7 @@ def features(word: str) -> set[str]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)  # of features
     bias: float = -4.0
+    leak: float | None = None  # log-odds of the leak term; the bias if there is none
 
 
 class _Weights(dict):
@@ -104,45 +110,46 @@ def telling_features(docs: list[list[list[str]]], y: np.ndarray, most: int = FEA
     return [f for _, f in sorted(found)[:most]]
 
 
-def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the noisy-or's log loss. *docs*: for each document its sentences' words."""
+def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 5000, rate: float = 0.1, decay: float = 1e-4, least: float = 1e-6) -> Model:
+    """Full-batch Adam on the noisy-or's log loss, until no derivative is over *least* (*epochs* steps at most). *docs*: for each document its sentences' words."""
     kept = [i for i, d in enumerate(docs) if d]
     y = np.asarray(labels, np.float64)[kept]
     docs = [docs[i] for i in kept]
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-4), 1 - 1e-4)
-        per = 1 - (1 - p) ** (1 / (np.mean([len(d) for d in docs]) if docs else 1.0))
-        return Model({}, math.log(per / (1 - per)))
+        return Model({}, leak=math.log(p / (1 - p)))
     names = telling_features(docs, y)
     number = {f: i for i, f in enumerate(names)}
     numbers: dict[str, list[int]] = {}  # of a word's features
-    sentence, place, doc = [], [], []
+    sentence, place, doc = [], [], []  # doc: of each sentence with a feature
     for i, words in enumerate(docs):
         for s in words:
+            found = []
             for w in s:
                 if w not in numbers:
-                    numbers[w] = sorted(number[f] for f in features(w) if f in number) or []
-                if numbers[w]:
-                    sentence.extend([len(doc)] * len(numbers[w]))
-                    place.extend(numbers[w])
-            doc.append(i)
+                    numbers[w] = sorted(number[f] for f in features(w) if f in number)
+                found.extend(numbers[w])
+            if found:
+                sentence.extend([len(doc)] * len(found))
+                place.extend(found)
+                doc.append(i)
     sentence, place, doc = (np.array(x, np.int64) for x in (sentence, place, doc))
-    k = len(names)
-    w, b = np.zeros(k), -4.0
-    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
+    k, mean = len(names), float(y.mean())
+    x = np.concatenate([np.zeros(k), [-4.0, math.log(mean / (1 - mean))]])  # weights, bias, leak
+    m, v = np.zeros(k + 2), np.zeros(k + 2)
     for step in range(1, epochs + 1):
+        w, b, leak = x[:k], x[k], x[k + 1]
         z = np.clip(b + np.bincount(sentence, w[place], minlength=len(doc)), -500, 500)
-        missed = np.bincount(doc, -np.logaddexp(0, z), minlength=len(y))  # log of the product of 1 - p
-        hit = np.maximum(-np.expm1(missed), 1e-9)
-        dz = 1 / (1 + np.exp(-z)) * ((hit - y) / hit)[doc] / len(y)
-        g = np.bincount(place, dz[sentence], minlength=k) + decay * w
-        gb = dz.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w = w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= rate * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
-    return Model(dict(zip(names, w.tolist(), strict=True)), float(b))
+        missed = np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)) - np.logaddexp(0, leak)  # log of (1 - leak) * product of 1 - p
+        hit = np.maximum(-np.expm1(missed), 1e-12)
+        off = (hit - y) / hit / len(y)
+        dz = off[doc] / (1 + np.exp(-z))
+        g = np.concatenate([np.bincount(place, dz[sentence], minlength=k) + decay * w, [dz.sum(), off.sum() * _sigmoid(leak)]])
+        if np.abs(g).max() <= least:
+            break
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x = x - rate * min(1.0, 300 / step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+    return Model(dict(zip(names, x[:k].tolist(), strict=True)), float(x[k]), float(x[k + 1]))
 
 
 def train(documents: DataFrame, labels: DataFrame, train_if: Callable[[Column], Column], max_train_docs: int = MAX_TRAIN_DOCS, label: str = "toxic") -> Model:
@@ -167,20 +174,24 @@ def train(documents: DataFrame, labels: DataFrame, train_if: Callable[[Column],
 _RESULT = "doc_id bigint, score double, n_sentences int, n_offending int, worst_start int, worst_end int"
 
 
-def score_text(text: str | None, weights: dict, bias: float) -> tuple[float, int, int, int, int]:
-    """Score; sentences; offending sentences; start and end (in characters) of the worst."""
+def score_text(text: str | None, weights: dict, bias: float, leak: float | None = None) -> tuple[float, int, int, int, int]:
+    """Score; sentences; offending sentences; start and end (in characters) of the worst. Without *leak* the leak term's log-odds are *bias*."""
     miss, count, bad, worst, at = 0.0, 0, 0, -math.inf, (-1, -1)
     get = weights.__getitem__
     for m in _SENTENCE.finditer(text or ""):
         words = _WORD.findall(m.group().lower())
         if not words:
             continue
-        z = bias + sum(map(get, words))
-        miss += _softplus(z)
+        evidence = sum(map(get, words))
+        z = bias + evidence
+        if evidence > 0 and z >= _TELLING_Z:
+            miss += _softplus(z)
         count += 1
         bad += z >= 0
         if z > worst:
             worst, at = z, m.span()
+    if count:
+        miss += _softplus(bias if leak is None else leak)
     return -math.expm1(-miss), count, bad, *at
 
 
@@ -191,7 +202,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not cache:
             cache.append(_Weights(shared.value))
-        rows = [score_text(t, cache[0], shared.value.bias) for t in batch.column("text").to_pylist()]
+        rows = [score_text(t, cache[0], shared.value.bias, shared.value.leak) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "score", "n_sentences", "n_offending", "worst_start", "worst_end"])
@@ -240,6 +251,6 @@ def keep(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
         if not cache:
             cache.append(_Weights(shared.value))
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        return batch.filter(pa.array([score_text(t, cache[0], shared.value.bias)[0] < threshold for t in texts], pa.bool_()))
+        return batch.filter(pa.array([score_text(t, cache[0], shared.value.bias, shared.value.leak)[0] < threshold for t in texts], pa.bool_()))
 
     return documents.mapInArrow(by_chunk(make, 1024), documents.schema)

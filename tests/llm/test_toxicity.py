@@ -50,6 +50,17 @@ def test_score_is_noisy_or():
     assert toxicity.score_text(None, {}, 0.0) == (0.0, 0, 0, -1, -1)
 
 
+def test_clean_texts_of_any_length_stay(spark):
+    docs, labels, bad = corpus(spark)
+    model = toxicity.train(docs, labels, lambda c: ~toxicity.held_out(c))
+    clean = [s for r in docs.collect() if r.doc_id not in bad and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for s in r.text.split(". ")]
+    rng = random.Random(4)
+    rows = [(n, ". ".join(rng.choices(clean, k=n)), "en", "s", 1) for n in (1000, 10_000, 100_000)]
+    rows += [(-n, f"{text}. W1 vile thing", *more) for n, text, *more in rows]
+    long = spark.createDataFrame(rows, cases.SCHEMA)
+    assert {r.doc_id for r in toxicity.keep(long, model).collect()} == {1000, 10_000, 100_000}
+
+
 def test_odd_rows(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None), (900, 1), (7, 0)], "doc_id bigint, toxic int")
