@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group; of repeated rows with that id, one."""
+    """One document of each group, that of the least id; documents without an id come last."""
     return simhash.representatives(docs)
 
 

@@ -145,15 +145,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per row: doc_id, fp, and component_id, the least doc_id that links lead to."""
+    """Per row: doc_id, fp, component (a fingerprint of its component, the same for all of it), and component_id, the least doc_id that links lead to."""
     prints = cut(fingerprints(documents))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots, distinct.fp == roots.node).select("fp", "first", "root")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
-    linked = named.join(least, "root").select("fp", "least")
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    linked = named.join(least, "root").select("fp", "root", "least")
+    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first").alias("component_id"))
+    return prints.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def near_duplicate_groups(documents: DataFrame) -> DataFrame:
@@ -162,12 +162,13 @@ def near_duplicate_groups(documents: DataFrame) -> DataFrame:
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """The rows of *documents*, with all their columns, that stay: of each component the one of the least doc_id, once.
+    """The rows of *documents*, with all their columns, that stay: of each component one, that of the least doc_id (null is the last), then of the least fingerprint.
 
-    Where ids repeat, rows are told apart by their fingerprints as well.
+    Where ids repeat, rows are told apart by their fingerprints as well; of rows equal in both, one stays.
     """
     rows = cut(near_duplicates(documents))
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("_fp")).withColumnRenamed("component_id", "_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")))
+    kept = rows.groupBy("component").agg(first.alias("k")).select("k._id", "k._fp")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return documents.join(kept, same, "left_semi")
@@ -179,4 +180,4 @@ def representatives(documents: DataFrame) -> DataFrame:
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in [*documents.dtypes, ("_row_fp", "bigint")])
     told = documents.mapInArrow(by_chunk(add, 1024), ddl).join(kept, same & (F.col("_row_fp") == F.col("_fp")), "left_semi")
-    return told.dropDuplicates(["doc_id"]).drop("_row_fp")
+    return told.dropDuplicates(["_row_fp"]).drop("_row_fp")  # a fingerprint is in one component

@@ -98,3 +98,16 @@ def test_query_against_brute_force(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({c: 1 for _, _, c in want})
     assert simhash.near_duplicate_groups(cases.empty(spark)).count() == 0
     assert simhash.representatives(cases.empty(spark)).count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(12)
+    text = lambda: cases.words(rng, 60, 5000)
+    nulls, repeated, several = ([text() for _ in range(n)] for n in (6, 4, 3))
+    rows = [(None, t) for t in nulls] + [(None, nulls[0]), (None, nulls[0])]
+    rows += [(5, t) for t in repeated] + [(5, repeated[0]), (None, repeated[1]), (4, repeated[2])]
+    rows += [(10 + i, t) for i, t in enumerate(several)] + [(9, several[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], cases.SCHEMA)
+    assert len(groups([fingerprint(t) for t in {t for _, t in rows}])) == 13
+    want = [(None, t) for t in nulls] + [(4 if n == 2 else 5, t) for n, t in enumerate(repeated)] + [(9, several[0]), (11, several[1]), (12, several[2])]
+    assert Counter((r.doc_id, r.text) for r in simhash.representatives(docs).collect()) == Counter(want)
