@@ -69,7 +69,7 @@ def _line(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     bucket = F.floor(share * F.ceil(F.col("source_docs") / PER_BUCKET)).cast("bigint")
     rows = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     rows = rows.select("d.*", "source_size", "source_docs", "target", mark.alias("mark")).withColumn("bucket", bucket)
-    inner = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size")
+    inner = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size", *(c for c in ("key",) if c in sized.columns))
     rows = rows.withColumns({"n": F.row_number().over(inner), "inside": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,11 +94,13 @@ def split_blocks(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return rows.select("source", "block", F.col("lo").alias("shard"))
 
 
-def mix(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, **rules) -> DataFrame:
+def mix(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, key: Column | None = None, **rules) -> DataFrame:
     """The mix, a row per document and piece: doc_id, source, bucket, n, size, source_size, target, start, and of the piece
     pass (0 or 1), from_word, words, block, shard, position (its order in the shard). A document that isn't taken has one row with null there.
+    *key*, of the documents, is passed on as ``key`` and settles the order of rows equal in doc_id and size.
     """
-    sized = cut(documents.select("doc_id", "source", words_in(F.col("text")).alias("size")))
+    named = [] if key is None else ["key"]
+    sized = cut(documents.select("doc_id", "source", words_in(F.col("text")).alias("size"), *(key.alias(c) for c in named)))
     sources = cut(targets(sized, **rules))
     placed = _line(sized, sources, seed)
     drawn = F.round("target").cast("bigint")
@@ -120,7 +122,7 @@ def mix(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, block_word
     dealt = dealt.select(F.col("source").alias("of"), F.col("block").alias("cut_of"), "shard")
     rows = rows.join(dealt, F.col("source").eqNullSafe(F.col("of")) & (F.col("cut") == F.col("cut_of")), "left")
     order = F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed + 2000), "doc_id", "p.pass", "from_word"))
-    return rows.select("doc_id", "source", "bucket", "n", "size", "source_size", "target", "start", F.col("p.pass").alias("pass"), "from_word", "words", F.col("cut").alias("block"), "shard", order.alias("position"))
+    return rows.select("doc_id", "source", "bucket", "n", "size", "source_size", "target", "start", F.col("p.pass").alias("pass"), "from_word", "words", F.col("cut").alias("block"), "shard", order.alias("position"), *named)
 
 
 def mixed_sizes(documents: DataFrame) -> DataFrame:
@@ -138,15 +140,25 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), count.cast("int")), "")
 
 
+def _row_key() -> Column:
+    """The same for rows equal in source, doc_id and text only: a digest, in which a null differs from every value."""
+    parts = (F.col("source"), F.col("doc_id").cast("string"), F.col("text"))
+    return F.md5(F.concat(*(F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in parts)).cast("binary"))
+
+
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents that the mix takes, with their own columns: one that is taken twice has two rows.
 
-    The last document of a source's draw may be taken in part: its text, and n_chars with it, end at the last word taken. Repeated
-    rows of *documents* (equal in doc_id and source) are told apart by size only; of those equal in all three, each is taken as the first is.
+    The last document of a source's draw may be taken in part: its text, and n_chars with it, end at the last word taken. A draw finds its row
+    by source, doc_id and text; rows equal in all three are each given one of their draws.
     """
-    draws = mixed_sizes(documents).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    draws = draws.where("_taken > 0").groupBy("_id", "_size").agg(F.max("_taken").alias("_taken"))
-    rows = documents.withColumn("_words", words_in(F.col("text"))).join(draws, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    key = _row_key()
+    pieces = mix(documents, key=key).where("words is not null")
+    draws = pieces.groupBy("source", "bucket", "n", "key", "size").agg(F.sum("words").cast("bigint").alias("taken"))
+    draws = draws.groupBy(F.col("key").alias("_key"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_draws"))
+    rows = documents.withColumn("_own", key).join(draws, F.col("_own") == F.col("_key"))
+    rank = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
+    rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= F.size("_draws")).withColumn("_taken", F.element_at("_draws", F.col("_rank")))
     left = (F.col("_taken") % F.col("_size")).cast("bigint")
     copies = F.floor(F.col("_taken") / F.col("_size"))
     rows = rows.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("bigint"), copies.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))))

@@ -104,6 +104,20 @@ def test_documents(spark):
     assert dict(got) == {d: r.taken for d, r in want.items() if r.taken}
 
 
+def test_documents_without_ids_meet_their_targets(spark):
+    rows = [(None, f"{s}{i % 40} b c d e", "en", s, 1) for s, n in (("a", 60), ("b", 200), (None, 50)) for i in range(n)]
+    rows += [(7, f"x y z {i} w", "en", s, 1) for s in ("a", "b") for i in range(5)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    target = water(Counter(s for *_, s, _ in rows for _ in range(5)))
+    got, times = Counter(), Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] += n_words(r.text)
+        times[r.source, r.doc_id, r.text] += n_words(r.text)
+    assert got == Counter({s: round(t) for s, t in target.items()})
+    whole = Counter((s, i, t) for i, t, _, s, _ in rows)
+    assert all(v <= 2 * 5 * whole[k] for k, v in times.items() if k in whole)
+
+
 def test_no_python_in_the_plan(spark):
     docs = cases.documents(spark)
     plan = mixing.mixed_sizes(docs)._jdf.queryExecution().executedPlan().toString()
