@@ -1,4 +1,4 @@
-"""Token ids of whole texts, the same as ``tokenizers`` gives, with a distinct word encoded once while a worker remembers it.
+"""Token ids of whole texts, the same as ``tokenizers`` gives with ``encode_special_tokens`` set (the text of an added token is ordinary text, which isn't the default), with a distinct word encoded once while a worker remembers it.
 
 Both vocabularies used here never join characters across a single space or line break
 between two characters that are no white space, so a text is cut there and the parts' ids are put together.
