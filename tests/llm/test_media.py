@@ -55,6 +55,38 @@ def test_checksums_are_verified():
     assert (found.checked, found.failed) == (3, 1) and found.damaged == [len(frames[0])]
 
 
+@pytest.mark.parametrize(
+    ("second", "third", "fourth", "allocations", "selects"),
+    [
+        (0xFC, 4 << 4 | 1 << 2, 0xC0, 88, 54),  # 48 kHz, mono, 64 kbit/s: 27 subbands
+        (0xFC, 10 << 4, 0x00, 188, 120),  # 44.1 kHz, stereo, 192 kbit/s: 30 subbands
+        (0xFC, 10 << 4, 0x40, 110, 120),  # the same, joint from subband 4
+        (0xFC, 1 << 4, 0xC0, 26, 16),  # 44.1 kHz, mono, 32 kbit/s: 8 subbands
+        (0xFC, 1 << 4 | 2 << 2, 0xC0, 38, 24),  # 32 kHz: 12 subbands
+        (0xF4, 8 << 4, 0xC0, 75, 60),  # MPEG-2
+    ],
+)
+def test_checksums_of_layer_2(second, third, fourth, allocations, selects):
+    four = bytes((0xFF, second, third, fourth))
+    h = media.header(four)
+    assert h.layer == 2 and h.protected
+
+    def made(allocation, covered):
+        body = allocation * allocations + "10" * 200
+        crc = 0xFFFF
+        for bit in f"{third:08b}{fourth:08b}" + body[:covered]:
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)) & 0xFFFF
+        body = body[: len(body) // 8 * 8]
+        return bytearray((four + struct.pack(">H", crc) + int(body, 2).to_bytes(len(body) // 8, "big"))[: h.length].ljust(h.length, b"\1"))
+
+    for allocation, covered in (("1", allocations + selects), ("0", allocations)):
+        good, bad, after = (made(allocation, covered) for _ in range(3))
+        bad[6 + (covered - 1) // 8] ^= 0x80 >> (covered - 1) % 8
+        after[6 + covered // 8] ^= 0x80 >> covered % 8
+        found = media.probe(bytes(good + bad + after)) if allocation == "1" else media.probe(bytes(good + after))
+        assert (found.frames, found.checked, found.failed) == ((3, 3, 1) if allocation == "1" else (2, 2, 0))
+
+
 def test_vbri_and_tags():
     first = bytearray(frame())
     first[36 : 36 + 30] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4 * len(first), 4, 2, 1, 2, 2) + struct.pack(">HH", len(first), len(first))
