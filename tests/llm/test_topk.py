@@ -50,3 +50,31 @@ def test_few_candidates_and_large_values(spark):
         topk.top_k(table(spark, [(0, [1e9]), (1, [1e9])]), F.col("vec_id") >= 0).collect()
     assert topk.nearest(table(spark, [])).count() == 0
     assert topk.nearest(table(spark, [(0, [1.0])])).count() == 0
+
+
+def test_parts_are_scored_apart_and_few_are_resolved(spark):
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(40)]
+    rows = [(i, [float(F32(c + rng.gauss(0, 0.5))) for c in rng.choice(centres)]) for i in range(4000)]
+    search = topk.Search(table(spark, rows), F.col("vec_id") % 50 == 0)
+    count = lambda lists, column: lists.select(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    gathered = search.gather().cache()
+    assert count(gathered, "keys") == 80 * 2 * topk.LIST
+    cutoffs = search.cutoffs(gathered).cache()
+    fifth = {q: s for q, n, _, s in brute(rows, 5, lambda q: q % 50 == 0) if n == 5}
+    ids = dict(search.rows.select("key", "vec_id").collect())
+    assert all(r.cutoff <= fifth[ids[r["query"]]] for r in cutoffs.collect()) and cutoffs.count() == 80
+    # Of all pairs and parts, phase 2 sends a few and phase 3 resolves a few.
+    lists = search.collect(cutoffs).cache()
+    sent, asked = count(lists, "keys"), count(search.missing(lists, cutoffs), "asked")
+    assert 80 * 5 <= sent < 0.2 * 80 * 4000 * 2 and asked < 0.2 * 80 * 4000 * 2
+    known = {(r["query"], k, r.part): s for r in lists.collect() for k, s in zip(r["keys"], r.scores, strict=True)}
+    vec = {r.key: r.vec for r in search.rows.collect()}
+    for (q, c, part), s in list(known.items())[:500]:
+        assert s == sum(a * b for a, b in zip(vec[q][16 * part : 16 * part + 16], vec[c][16 * part : 16 * part + 16], strict=True))
+
+
+def test_repeated_ids_and_ties(spark):
+    rows = [(50, [1.0, 0.0])] * 30 + [(50, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 0.0])] + [(i, [0.5, 0.5]) for i in range(101, 140)]
+    got = sorted(map(tuple, topk.nearest(table(spark, rows)).collect()))
+    assert got == brute(rows, 5, lambda q: q % 50 == 0)
