@@ -1,7 +1,11 @@
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from splatframe.llm import mixing
 
@@ -122,3 +126,90 @@ def test_no_python_in_the_plan(spark):
     docs = cases.documents(spark)
     plan = mixing.mixed_sizes(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hypergeometric_by_inversion(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(300):
+        n = rng.choice([rng.randrange(1, 12), rng.randrange(1, 300)])
+        rows.append((n, rng.randrange(n + 1), rng.randrange(n + 1), rng.random()))
+    rows += [(10, 0, 5, 0.5), (10, 10, 5, 0.5), (10, 4, 0, 0.1), (10, 4, 10, 0.999999), (1, 1, 1, 0.0)]
+    got = spark.createDataFrame(rows, "n bigint, k bigint, d bigint, u double").select("*", mixing.hypergeometric(*map(F.col, "nkdu")).alias("x")).collect()
+    for r in got:
+        total, whole = 0.0, math.comb(r.n, r.d)
+        for x in range(max(0, r.d - r.n + r.k), min(r.d, r.k) + 1):
+            total += math.comb(r.k, x) * math.comb(r.n - r.k, r.d - x) / whole
+            if total > r.u:
+                break
+        assert r.x == x or abs(total - r.u) < 1e-9, r
+    # Large numbers keep mean and deviation.
+    big = spark.range(2000).select(mixing.hypergeometric(F.lit(10**9), F.lit(3 * 10**8), F.lit(10**6), mixing._uniform(F.lit(3), F.col("id"))).alias("x")).agg(F.mean("x"), F.stddev("x")).first()
+    assert abs(big[0] - 300_000) < 50 and 420 < big[1] < 500
+
+
+@pytest.mark.parametrize("fan", [2, 256])
+def test_quotas_split_into_disjoint_ranges(spark, monkeypatch, fan):
+    monkeypatch.setattr(mixing, "FAN", fan)
+    quotas = {0: 1000, 1: 1, 2: 0, 3: 77, 4: 5000}
+    rows = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "place bigint, quota bigint"), 5, 9).collect()
+    for place, quota in quotas.items():
+        at = 0
+        for r in sorted((r for r in rows if r.place == place), key=lambda r: r.first):
+            assert r.first == at and r.quota > 0
+            at += r.quota
+        assert at == quota
+    per = Counter()
+    for r in rows:
+        per[r.shard] += r.quota
+    # 6,078 blocks: 2 of 5 shards go left, then 1 of 2, and so on, rounded down each time.
+    assert sorted(per.values()) == [1215, 1215, 1216, 1216, 1216] and set(per) == set(range(5))
+    per = [r.quota for r in rows if r.place == 4]
+    assert len(set(per)) > 1 and all(abs(q - 1000) < 6 * 13 for q in per)
+
+
+def test_taken_by_document_against_brute_force(spark):
+    docs = cases.documents(spark)
+    rows, texts = mixing.sizes(docs).collect(), docs.select("doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    target, want = water(sizes), Counter()
+    for s in sizes:
+        at, t = 0, round(target[s])
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: (r.mark, r.doc_id is not None, r.doc_id or 0)):
+            passes = [max(0, min(r.size, t - p * sizes[s] - at)) for p in (0, 1)]
+            want[r.doc_id, r.size, sum(passes)] += 1
+            at += r.size
+    got = mixing.mixed_sizes(docs).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == want
+    assert all(r.taken == sum(p.words for p in r.pieces) and r.shards == sorted({p.shard for p in r.pieces}) for r in got)
+
+
+def test_sizes_and_targets_by_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    documents = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(mixing.TARGETS_SQL).fetchall()
+    got = mixing.mixed_sizes(docs).select("doc_id", "size", "source_size", F.round("target", 6)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_repeated_rows_and_clashing_names_in_the_stage(spark):
+    names = ["_id", "_size", "_taken", "_words", "_part", "_key", "rid", "row", "shard", "position", "words", "of", "p", "pieces", "a`b", "start", "_run_0"]
+    ddl = cases.SCHEMA + "".join(f", `{n.replace('`', '``')}` bigint" for n in names)
+    rows = [(5, "a b c d", "en", "s", 7, *range(len(names)))] * 50
+    out = mixing.mixed_documents(spark.createDataFrame(rows, ddl), block_words=16)
+    assert out.columns == [*cases.SCHEMA.replace(" bigint", "").replace(" string", "").split(", "), *names]
+    got = out.collect()
+    assert sum(n_words(r.text) for r in got) == 300 and all(tuple(r)[5:] == tuple(range(len(names))) for r in got)
+
+
+def test_the_stage_is_in_the_order_of_the_shards(spark):
+    docs = cases.documents(spark, extra=False).where("doc_id < 60").dropDuplicates(["doc_id"])
+    pieces = mixing.mix(docs, block_words=256).where("pass is not null").collect()
+    first = {}
+    for r in sorted(pieces, key=lambda r: r.from_word):
+        first.setdefault((r.doc_id, r["pass"]), (r.shard, r.position))
+    got = [r.doc_id for r in mixing.mixed_documents(docs, block_words=256).collect()]
+    assert got == [d for (d, _), _ in sorted(first.items(), key=lambda x: x[1])] and len({s for s, _ in first.values()}) > 8
