@@ -111,3 +111,46 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     assert len(groups([fingerprint(t) for t in {t for _, t in rows}])) == 13
     want = [(None, t) for t in nulls] + [(4 if n == 2 else 5, t) for n, t in enumerate(repeated)] + [(9, several[0]), (11, several[1]), (12, several[2])]
     assert Counter((r.doc_id, r.text) for r in simhash.representatives(docs).collect()) == Counter(want)
+
+
+def test_tallies_add_up_from_the_postings(spark):
+    for six in itertools.combinations(range(8), 6):
+        inside = [p for p in simhash.POSITIONS if set(p) <= set(six)]
+        assert len(simhash.POSITIONS) == 14 and len(inside) == 3 and set().union(*inside) == set(six)
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = {base}
+    for _ in range(200):
+        fps.add(base ^ sum(rng.randrange(1, 256) << 8 * i for i in rng.sample(range(8), rng.randrange(1, 5))))
+    rows = {(r.a, r.b): r.shared for r in simhash.tallies(spark.createDataFrame([(signed(f),) for f in fps], "fp bigint"), 1000).collect()}
+    for a, b in itertools.combinations(sorted(map(signed, fps)), 2):
+        same = sum((a ^ b) >> 8 * i & 255 == 0 for i in range(8))
+        assert rows.get((a, b), 0) == same if same >= 6 else rows.get((a, b), 0) < 6
+
+
+def test_lists_are_bounded_whatever_the_group(spark):
+    rng = random.Random(10)
+    dense = {(rng.getrandbits(16) << 8) | (7 << 40) for _ in range(3000)}
+    near = {5 << 56 ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(2000)}
+    fps = sorted(map(signed, dense | near))
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    assert simhash.tallies(df).count() <= len(fps) * 14 * simhash.LIST
+    got = {(r.a, r.b) for r in simhash.links(df).collect()}
+    array = __import__("numpy").array(fps)
+    want = {(f, int(g)) for f in fps for g in array[[(x & (1 << 64) - 1).bit_count() <= 2 for x in (array ^ f).tolist()]] if f < g}
+    assert got == want
+
+
+def test_hot_fingerprints_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    docs = spark.createDataFrame([(i, "the same words here" if i % 2 else f"text {i} of its own", "en", "s", 1) for i in range(200)] + [(3, "the same words here", "en", "s", 1)], cases.SCHEMA)
+    rows = simhash.near_duplicate_groups(docs).collect()
+    assert len(rows) == 201 and {r.component_id for r in rows if r.doc_id % 2} == {1} and sum(r.component_id == r.doc_id for r in rows if not r.doc_id % 2) == 100
+
+
+def test_clashing_names_stay(spark):
+    names = ["_id", "_fp", "_row_fp", "fp", "rid", "row", "of", "n", "component", "root", "a`b", "k", "salt"]
+    ddl = cases.SCHEMA + "".join(f", `{n.replace('`', '``')}` string" for n in names)
+    rows = [(i, "one text here" if i < 3 else f"{i} other words {i}", "en", "s", 1, *names) for i in (0, 1, 2, 3, 4, 4)]
+    out = simhash.representatives(spark.createDataFrame(rows, ddl))
+    assert out.columns[5:] == names and sorted(r.doc_id for r in out.collect()) == [0, 3, 4] and all(list(r)[5:] == names for r in out.collect())
