@@ -1,14 +1,18 @@
 """Two-pass external shuffle: a table in a seeded random order, written as shards of equal row counts.
 
 Pass one scatters the records uniformly into buckets that fit in memory, by a seeded hash of their id
-and text. Pass two puts each bucket into a canonical order, applies a seeded Fisher-Yates shuffle, and writes it. The buckets one after
+and text, and writes them with their bucket. Pass two brings each bucket together, puts it into a canonical order, applies a seeded Fisher-Yates shuffle, and writes it. The buckets one after
 another are the shuffled order; shard *s* of *n* holds positions ``[s * N / n, (s + 1) * N / n)`` of it, so counts differ by one
-at most. Bucket sizes are counted by an aggregate; what the driver holds is one number per bucket.
+at most. Where a bucket starts is a running sum over the buckets' counts, which travels with its rows; the driver gets totals only.
 
-Both passes are pure functions of seed and data: a lost task writes the same bucket again.
+Records that are equal in id and text have one hash. Where they are very many, their place in the input scatters them as well; they are alike, so that doesn't
+change what a shard holds but for which of them it is. Their hashes, the only thing that is broadcast, are at most ``PART``.
 
-Defined results: a null text has size 1. Records with a null id scatter by their text; records equal in id and text share a bucket. Equal records are neighbours in the canonical order, so the result doesn't
-depend on the order of arrival. An empty table gives empty shards. Other columns are written with their record.
+Both passes are functions of seed and data, and pass two reads what pass one wrote: a lost task writes the same bucket again.
+
+Defined results: a null text has size 1. Records with a null id scatter by their text. Equal records are neighbours in the canonical order, so the result doesn't
+depend on the order of arrival. An empty table gives empty shards. Other columns are written with their record, whatever their names; only columns
+named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import new_folder
+from .common import cut, new_folder, quoted, remove_folder, running, whole_row
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
+#: Equal records scatter by their place too if there are more of them than this and than one in ``PART`` of all.
+EQUAL, PART = 1024, 10_000
 SEED = 20
 
 
@@ -48,58 +55,72 @@ def write_shards(df: DataFrame, folder: str, shards: int = SHARDS, bucket_bytes:
     if not 1 <= shards:
         raise ValueError("shards must be positive")
     spark = df.sparkSession
-    scattered = df.withColumn("_mark", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)))
-    total = df.agg(F.coalesce(F.sum(sizes(F.col("text"))), F.lit(0))).first()[0]
+    kept = df.select(*(F.col(quoted(c)) for c in df.columns if c.lower() not in ("shard", "slot")))
+    mark = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1))
+    hashed = F.xxhash64(F.lit(seed), "doc_id", mark)
+    equal = cut(df.select(hashed.alias("hash"), sizes(F.col("text")).alias("size")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
+    total, rows = equal.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_mark"), F.lit(buckets)).cast("int")
-    scattered = scattered.withColumn("_bucket", place)
-    counts = {r[0]: r[1] for r in scattered.groupBy("_bucket").count().collect()}
-    starts, rows = {}, 0
-    for b in range(buckets):
-        starts[b], rows = rows, rows + counts.get(b, 0)
-    first = spark.sparkContext.broadcast(starts)  # a number per bucket
+
+    # Pass one.
+    many = equal.where(F.col("n") > max(EQUAL, rows // PART)).select(F.col("hash").alias("many"))
+    place = F.when(F.col("many").isNotNull(), F.xxhash64("hash", F.monotonically_increasing_id())).otherwise(F.col("hash"))
+    scattered = kept.select(whole_row(kept).alias("row"), hashed.alias("hash"), mark.alias("mark")).join(F.broadcast(many), F.col("hash") == F.col("many"), "left")  # at most PART rows
+    scattered = scattered.select(F.pmod(place, F.lit(buckets)).alias("bucket"), "mark", "row")
+    between, schema = new_folder(spark, "scattered"), scattered.schema
+    scattered.write.option("compression", "zstd").parquet(between)
+    scattered = spark.read.schema(schema).parquet(between)
+
+    # Pass two: the first row of each bucket says where it starts.
+    counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    firsts = running(counts, [F.col("bucket")], {"first": F.col("n")}).select("bucket", "first")
+    both = scattered.unionByName(firsts, allowMissingColumns=True)
 
     def shuffle(batches):
         held: list[pa.RecordBatch] = []
+        bucket = start = None
 
         def done():
             table = pa.Table.from_batches(held).combine_chunks()
-            bucket = table.column("_bucket")[0].as_py()
+            held.clear()
             order = fisher_yates(table.num_rows, [seed, bucket])
-            at = first.value[bucket] + np.arange(table.num_rows)
+            at = start + np.arange(table.num_rows)
             shard = ((at + 1) * shards - 1) // max(1, rows)
             slot = at - shard * rows // shards
-            table = table.drop_columns(["_bucket", "_mark"])
-            for start in range(0, table.num_rows, 1024):
-                part = table.take(pa.array(order[start : start + 1024]))
-                part = part.append_column("shard", pa.array(shard[start : start + 1024], pa.int32())).append_column("slot", pa.array(slot[start : start + 1024], pa.int64()))
+            for begin in range(0, table.num_rows, 1024):
+                part = table.take(pa.array(order[begin : begin + 1024]))
+                part = part.append_column("shard", pa.array(shard[begin : begin + 1024], pa.int32())).append_column("slot", pa.array(slot[begin : begin + 1024], pa.int64()))
                 yield from part.combine_chunks().to_batches()
 
-        now = None
         for batch in batches:
-            ids = batch.column("_bucket").to_numpy()
-            for a, b in zip(edges := [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist()], [*edges[1:], len(ids)], strict=True):
-                if b > a:
-                    if now is not None and ids[a] != now:
+            first = batch.column("first")
+            heads = np.flatnonzero(first.is_valid().to_numpy(zero_copy_only=False))
+            for a, b in zip([-1, *heads.tolist()], [*heads.tolist(), batch.num_rows], strict=True):
+                if a >= 0:
+                    if held:
                         yield from done()
-                        held.clear()
-                    now = ids[a]
-                    held.append(batch.slice(a, b - a))
+                    bucket, start = batch.column("bucket")[a].as_py(), first[a].as_py()
+                if b > a + 1:
+                    held.append(batch.select(["row"]).slice(a + 1, b - a - 1))
         if held:
             yield from done()
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "`shard` int", "`slot` bigint"])
+    row = schema["row"]
+    made = StructType([row, StructField("shard", IntegerType()), StructField("slot", LongType())])
     (
-        scattered.repartitionById(buckets, F.col("_bucket"))
-        .sortWithinPartitions("_bucket", "doc_id", "_mark", "text")
-        .mapInArrow(shuffle, schema)
+        both.repartition("bucket")
+        .sortWithinPartitions("bucket", F.col("first").asc_nulls_last(), "row.doc_id", "mark", "row.text")
+        .select("bucket", "first", "row")
+        .mapInArrow(shuffle, made)
+        .select("row.*", "shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.option("compression", "zstd")
         .partitionBy("shard")
         .parquet(folder)
     )
-    stored = spark.read.schema(schema).parquet(folder) if rows else spark.createDataFrame([], schema)
-    return stored.select(*df.columns, "shard", "slot")
+    remove_folder(spark, between)
+    schema = StructType([*row.dataType.fields, *made.fields[1:]])
+    return spark.read.schema(schema).parquet(folder).select(*(F.col(quoted(f.name)) for f in schema.fields)) if rows else spark.createDataFrame([], schema)
 
 
 def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -47,3 +47,22 @@ def test_many_buckets_keep_columns(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 1
     order = [r.doc_id for r in stored.where("doc_id < 60").orderBy("shard", "slot").collect()]
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.4
+
+
+def test_one_row_very_often_is_scattered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL", 100)
+    docs = spark.createDataFrame([(None, "the same", "en", "s", 1)] * 3000 + [(i, f"text {i}", "en", "s", 1) for i in range(3000)], cases.SCHEMA)
+    stored = sharding.write_shards(docs, new_folder(spark, "t"), shards=6, bucket_bytes=2048).collect()
+    assert Counter(r.doc_id is None for r in stored) == {True: 3000, False: 3000}
+    assert all(380 < n < 620 for n in Counter(r.shard for r in stored if r.doc_id is None).values())
+    for s in range(6):
+        assert sorted(r.slot for r in stored if r.shard == s) == list(range(1000))
+
+
+def test_clashing_names(spark):
+    names = ["_mark", "_bucket", "bucket", "mark", "row", "first", "hash", "many", "a`b"]
+    ddl = cases.SCHEMA + "".join(f", `{n.replace('`', '``')}` string" for n in names) + ", shard string, slot string"
+    docs = spark.createDataFrame([(i % 7, f"t{i}", "en", "s", 1, *names, "x", "y") for i in range(40)], ddl)
+    stored = sharding.write_shards(docs, new_folder(spark, "t"), shards=3)
+    assert stored.columns == [*docs.columns[:-2], "shard", "slot"]
+    assert sorted(r.text for r in stored.collect()) == sorted(f"t{i}" for i in range(40)) and all(list(r)[5:-2] == names for r in stored.collect())
