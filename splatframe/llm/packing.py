@@ -1,17 +1,17 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised, closed by an end id, and cut into pieces: whole windows first, then
-pieces of at most ``PIECE`` ids. Whole windows are sequences as they are. The rest are dealt by a seeded hash into groups of
-about ``GROUP_WINDOWS`` windows, and each group is packed on its own: every piece is a partial partition into *m* windows with one
+pieces of at most ``PIECE`` ids. The pieces, in the order of a seeded hash, are dealt into groups of about ``GROUP_WINDOWS`` windows and at most ``GROUP_PIECES``
+pieces, and each group is packed on its own. Whole windows are sequences as they are. Every other piece is a partial partition into *m* windows with one
 of them filled; the two partial partitions of the greatest spread are merged, fullest
 windows with emptiest, until one is left, whose windows are nearly equal. Where the fullest exceeds the capacity, *m* rises and the
-group is packed again.
+group is packed again. A partial partition keeps its filled windows only, so a group's memory grows with its pieces, whatever *m* is.
 
-Texts are read and tokenised once, and only piece lengths and checksums go on; groups are bounded and
-numbered by a prefix sum over their window counts (a row per group). A lost task repeats only its own group.
+Texts are read and tokenised once, and only piece lengths and checksums go on; groups come from a running sum over the pieces, and sequences are numbered
+by one over the groups, both in two levels. Equal pieces are dealt out like others. A lost task repeats only its own group.
 
 Defined results: a null or empty text is one piece, the end id alone. Repeated rows are packed one by one; a null doc_id is kept. An
-empty table gives no rows. A capacity below 1 raises an error.
+empty table gives no rows. A capacity below 1 raises an error. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_chunk, cut
+from .common import by_chunk, cut, running
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END = 2048, 1
 PIECE = 512
-GROUP_WINDOWS = 256
+GROUP_WINDOWS, GROUP_PIECES = 256, 16384
 SEED = 7
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,41 +38,33 @@ TOKENIZER = "word_bpe_49k.json"
 def difference(sizes: list[int], m: int) -> np.ndarray:
     """The window (0 to m - 1) of each size, by multiway differencing into *m* windows."""
     n = len(sizes)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    # A partial partition: spread, a tie-breaking number, its node, and the windows' sums less the least of them, ascending.
-    # A node's rows tell where each of its windows comes from: a pair of windows of its two parents.
-    sums = np.zeros((n, m), np.int64)
-    sums[:, -1] = sizes
-    heap = [(-s, i, i, sums[i]) for i, s in enumerate(sizes)]
-    if m == 1:
+    if n == 0 or m == 1:
         return np.zeros(n, np.int64)
+    # A partial partition: its spread, a tie-breaking number, the sums of its filled windows less the least of all its windows (ascending), and
+    # the first and the last size in each of them. Sizes in a window form a chain.
+    after = np.full(n, -1, np.int64)
+    heap = [(-s, i, np.array([s]), np.array([i]), np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    parents, orders = [], []
-    while len(heap) > 1:
-        _, _, a, x = heapq.heappop(heap)
-        _, _, b, y = heapq.heappop(heap)
-        total = x + y[::-1]
-        order = total.argsort(kind="stable")
-        total = total[order]
-        total -= total[0]
-        parents.append((a, b))
-        orders.append(order)
-        node = n + len(parents) - 1
-        heapq.heappush(heap, (-int(total[-1]), node, node, total))
+    for node in range(n, 2 * n - 1):
+        _, _, x, first, last = heapq.heappop(heap)
+        _, _, y, y_first, y_last = heapq.heappop(heap)
+        both = max(0, len(x) + len(y) - m)  # so many of the least windows of each meet, the others stand alone
+        if both:
+            after[last[:both]] = y_first[:both][::-1]
+            last[:both] = y_last[:both][::-1]
+            x[:both] += y[:both][::-1]
+        x = np.concatenate([x, y[both:]])
+        order = x.argsort(kind="stable")
+        x = x[order]
+        if len(x) == m:
+            x -= x[0]
+        heapq.heappush(heap, (-int(x[-1]), node, x, np.concatenate([first, y_first[both:]])[order], np.concatenate([last, y_last[both:]])[order]))
     window = np.zeros(n, np.int64)
-    where = {heap[0][2]: np.arange(m)}  # the final window of each of a node's windows
-    for k in range(len(parents) - 1, -1, -1):
-        final = where.pop(n + k)
-        back = np.empty(m, np.int64)
-        back[orders[k]] = final
-        for parent, its in zip(parents[k], (back, back[::-1]), strict=True):
-            if parent < n:
-                window[parent] = its[-1]
-            else:
-                where[parent] = its
-    if not parents:
-        window[0] = m - 1
+    at, number = heap[0][3], np.arange(len(heap[0][3]))
+    while len(at):
+        window[at] = number
+        at, number = after[at], number[after[at] >= 0]
+        at = at[at >= 0]
     return window
 
 
@@ -108,7 +100,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, e
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, ids = [], []
-        encoded = encoder(path, True).encode([t or "" for t in batch.column("text").to_pylist()])
+        encoded = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
         for doc, data in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
             data, at = data + tail, 0
             n = len(data) // 4
@@ -148,22 +140,22 @@ def _pack_group(capacity: int):
     return run
 
 
-def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, seed: int = SEED) -> DataFrame:
+def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, seed: int = SEED, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """*rows* (as of ``pieces``) with sequence_id and offset, its place there.
 
     Equal rows (copies of a document with the same id) may fall into one group; its pieces are then packed together.
     """
+    names = rows.columns
     rows = cut(rows)
-    total, whole = rows.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.when(F.col("length") == capacity, 1))).first()
-    groups = max(1, round(total / capacity / group_windows))
-    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
-    ddl = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("group", "int"), ("window", "bigint"), ("offset", "bigint")])
-    packed = cut(rows.withColumn("group", group).groupBy("group").applyInArrow(_pack_group(capacity), ddl))
-    counts = packed.groupBy("group").agg((F.max("window") + 1).alias("windows"))
-    along = Window.partitionBy(F.lit(0)).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(F.col("group").alias("of"), F.coalesce(F.sum("windows").over(along), F.lit(0)).alias("first"))
-    out = packed.join(firsts, F.col("group") == F.col("of"))
-    return out.select(*rows.columns, (F.col("first") + F.col("window")).cast("bigint").alias("sequence_id"), "offset")
+    room = group_windows * capacity
+    share = F.col("length") + -(-room // group_pieces)  # of a group, which bounds its ids and its pieces
+    order = [F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), *(F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), F.monotonically_increasing_id()]
+    dealt = running(rows, order, {"before": share}).withColumn("group", F.floor(F.col("before") / room)).drop("before")
+    schema = StructType([*dealt.schema.fields, StructField("window", LongType()), StructField("offset", LongType())])
+    packed = cut(dealt.groupBy("group").applyInArrow(_pack_group(capacity), schema))
+    counts = packed.groupBy(F.col("group").alias("of")).agg((F.max("window") + 1).alias("windows"))
+    out = packed.join(running(counts, [F.col("of")], {"first": F.col("windows")}), F.col("group") == F.col("of"))
+    return out.select(*names, (F.col("first") + F.col("window")).cast("bigint").alias("sequence_id"), "offset")
 
 
 def packed_documents(documents: DataFrame) -> DataFrame:

@@ -1,15 +1,16 @@
 """Token ids in the Arrow stream-file format: batches of fixed-size lists, for zero-copy random access.
 
-Documents in ascending order of doc_id, each closed by an end id, make one stream of ids. It is range-partitioned by
-doc_id and each part is one file, an Arrow stream whose batches have two fixed-size-list columns of ``LENGTH`` values: ids (uint16 or
-uint32) and mask (a bit a value: 1 for an id, 0 for padding in the file's last row). A sequence of a memory-mapped file is a slice, at a
+Documents in ascending order of doc_id, each closed by an end id, make one stream of ids. It is range-partitioned into files of about ``FILE_BYTES`` of
+text, each an Arrow stream whose batches have two fixed-size-list columns of ``LENGTH`` values: ids (uint16, or
+uint32 where the vocabulary or the end id needs it) and mask (a bit a value: 1 for an id, 0 for padding in the file's last row). A sequence of a memory-mapped file is a slice, at a
 computed place. Beside it stands an index stream: doc_id, start (in the file) and n_tokens of each document.
 
 Files are written under a temporary name and renamed, and hold what their part's rows determine, so a task that is
 run again writes the same file. ``pyarrow.fs`` opens them, on any file system that it has.
 
-Defined results: a null or empty text is the end id alone. Null ids come first; repeated rows are neighbours in order of their text. An empty table writes no file and reads
-back no rows.
+Defined results: a null or empty text is the end id alone. Null ids come first; rows of one id are in the order of the first 64 characters of their text (null first), then of a
+hash of the whole text, and equal rows may be spread over files. An empty table writes no file and reads
+back no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, new_folder
+from .common import cut, new_folder, running
 from .tokens import encoder, tokenizer_path
 
 LENGTH, END = 2048, 0
 #: Sequences of a record batch.
 BATCH = 256
+#: UTF-8 bytes of text for a file.
+FILE_BYTES = 64 << 20
 #: Documents encoded at once.
 DOCS = 256
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,14 +76,14 @@ class Writer:
         self.out.close()
 
 
-def write_token_files(documents: DataFrame, folder: str, length: int = LENGTH, end: int = END, path: str | None = None, wide: bool = False) -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, length: int = LENGTH, end: int = END, path: str | None = None, wide: bool = False, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes *documents* (doc_id, text) to files in *folder*; returns a row per file: part, file, n_docs, n_tokens.
 
-    *wide*: 32-bit ids, for vocabularies over 65,536.
+    *wide*: 32-bit ids, even if all fit in 16 bits.
     """
-    if length < 1:
-        raise ValueError("length must be positive")
-    path, kind = path or tokenizer_path(TOKENIZER), np.dtype("<u4" if wide else "<u2")
+    if length < 1 or not 0 <= end < 1 << 32:
+        raise ValueError("length must be positive, and end an unsigned 32-bit integer")
+    path = path or tokenizer_path(TOKENIZER)
     tail = np.array([end], "<u4").tobytes()
 
     def write(batches):
@@ -95,6 +97,7 @@ def write_token_files(documents: DataFrame, folder: str, length: int = LENGTH, e
             for at in range(0, batch.num_rows, DOCS):
                 some = batch.slice(at, DOCS)
                 if writer is None:
+                    kind = np.dtype("<u4" if wide or max(end, encoder(path).largest) >= 1 << 16 else "<u2")
                     store, top = _store(folder)
                     store.create_dir(top, recursive=True)
                     files = [f"{top}/part-{part:06d}.{kind_}" for kind_ in ("tokens", "index")]
@@ -117,8 +120,10 @@ def write_token_files(documents: DataFrame, folder: str, length: int = LENGTH, e
                 store.move(f"{f}.{name}.tmp", f)
             yield pa.record_batch({"part": pa.array([part], pa.int32()), "file": [f"{folder}/part-{part:06d}"], "n_docs": pa.array([docs], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
-    rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return cut(rows.mapInArrow(write, "part int, file string, n_docs bigint, n_tokens bigint"))
+    total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    order = {"doc_id": F.col("doc_id"), "head": F.substring("text", 1, 64), "mark": F.xxhash64("text"), "rid": F.monotonically_increasing_id()}
+    rows = documents.select("text", *(c.alias(n) for n, c in order.items())).repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
+    return cut(rows.select("doc_id", "text").mapInArrow(write, "part int, file string, n_docs bigint, n_tokens bigint"))
 
 
 def sequence(path: str, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +143,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     *files*: as ``write_token_files`` returns; their token counts give each file's first place.
     """
-    along = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("part", "file", F.coalesce(F.sum("n_tokens").over(along), F.lit(0)).alias("first"))
+    placed = running(files, [F.col("part")], {"first": F.col("n_tokens")}).select("part", "file", "first")
 
     def read(batches):
         for batch in batches:

@@ -1,20 +1,27 @@
-"""Token ids of whole texts, the same as ``tokenizers`` gives with ``encode_special_tokens`` set (the text of an added token is ordinary text, which isn't the default), with a distinct word encoded once while a worker remembers it.
+"""Token ids of whole texts, the same as ``tokenizers`` gives by default for ``encode(text, add_special_tokens=False)``, with a distinct word encoded once while a worker remembers it.
 
-Both vocabularies used here never join characters across a single space or line break
+Two kinds of vocabulary files are known, by their normaliser, pre-tokeniser and model settings. Both never join characters across a single space or line break
 between two characters that are no white space, so a text is cut there and the parts' ids are put together.
-A text with other runs of white space is cut at such places only. Neither vocabulary joins letters and punctuation, so
+A text with other runs of white space is cut at such places only. Neither kind joins letters and punctuation, so
 punctuation after a word of letters is encoded apart. Words of Latin-1 letters, which normalisation leaves as they are but for
-their case, go to the library's BPE model directly; all other parts go through its whole pipeline.
+their case, go to the library's BPE model directly; all other parts go through its whole pipeline. So do whole texts that hold the text of an added token,
+such as ``<|endoftext|>``, and all texts with other kinds of files.
+
+What a worker remembers is bounded in bytes, over all its memories.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 from collections.abc import Callable
 
-#: Parts, and words, that a worker remembers: those met last.
-REMEMBERED = 800_000
+#: Bytes of what a worker remembers of the parts and words met last: parts, words after a space, bare words, first parts, punctuation.
+REMEMBERED = {"known": 160 << 20, "spaced": 64 << 20, "bare": 32 << 20, "firsts": 16 << 20, "marks": 16 << 20}
+#: What is longer isn't remembered.
+LONGEST = 256
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Runs that only ``_CUT`` treats rightly: doubled and other white space.
 _ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
@@ -44,43 +51,72 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """What *make* gives for each key, made when asked for. Half of ``REMEMBERED`` keys are at hand; when they are that many, those before them are forgotten."""
+    """What *make* gives for each key, made when asked for. Half of *size* bytes are at hand; when they are that many, those before them are forgotten."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self._make, self._before = make, {}
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self._make, self._size, self._held, self._before = make, size // 2, 0, {}
 
     def __missing__(self, key: str) -> bytes:
         made = self._before.get(key)
         if made is None:
             made = self._make(key)
-        if len(self) >= REMEMBERED // 2:
-            self._before = dict(self)
-            self.clear()
-        self[key] = made
+        if len(key) <= LONGEST:
+            self._held += sys.getsizeof(key) + sys.getsizeof(made) + 100  # and its place in the dict
+            if self._held >= self._size:
+                self._before, self._held = dict(self), 0
+                self.clear()
+            self[key] = made
         return made
 
 
-class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
+# Settings of the two kinds of files whose texts may be cut.
+_BYTES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def kind_of(settings: dict) -> str | None:
+    """``bytes`` or ``words`` for the two kinds of files, else None."""
+    model = settings["model"]
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    if settings.get("truncation") or settings.get("padding") or any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in settings["added_tokens"]):
+        return None
+    for kind, want, suffix in (("bytes", _BYTES, None), ("words", _WORDS, "</w>")):
+        if all(settings.get(k) == v for k, v in want.items()) and (model.get("end_of_word_suffix") or None) == suffix:
+            return kind
+    return None
 
-    *drops_space*: the vocabulary drops white space and case, so that a part's ids don't depend on the space before it.
-    """
 
-    def __init__(self, path: str, drops_space: bool = False):
+class Encoder:
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers. ``largest`` is the vocabulary's largest id."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        settings = json.loads(self._tokenizer.to_str())
+        kind = kind_of(settings)
+        self._cuts, self._drops = kind is not None, kind == "words"
+        self._added = [t["content"] for t in settings["added_tokens"]]
         self._encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
         self._tokenize = self._tokenizer.model.tokenize
-        self._drops = drops_space
-        self._bytes = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
+        self.largest = max(self._tokenizer.get_vocab().values(), default=0)
+        self._bytes = [i.to_bytes(4, "little") for i in range(self.largest + 1)]
         self._letters = _byte_letters()
         self._break = self._whole("\n")
         # A text's first part, parts after a space or line break, words, words after a space, punctuation.
-        self._firsts, self._known = _Remembered(self._first), _Remembered(self._part)
-        self._bare, self._spaced, self._marks = _Remembered(self._word), _Remembered(self._spaced_word), _Remembered(self._whole)
+        makes = {"firsts": self._first, "known": self._part, "bare": self._word, "spaced": self._spaced_word, "marks": self._whole}
+        self._firsts, self._known, self._bare, self._spaced, self._marks = (_Remembered(make, REMEMBERED[name]) for name, make in makes.items())
 
     def _whole(self, part: str) -> bytes:
         """Ids by the library's whole pipeline."""
@@ -115,17 +151,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         get, encoded = self._known.__getitem__, []
         for text in texts:
+            if not self._cuts or any(a in text for a in self._added):
+                encoded.append(self._whole(text))
+                continue
             first, *rest = text.replace("\n", " ").split(" ") if self._drops else cut_at_spaces(text)
             encoded.append(self._firsts[first] + b"".join(map(get, rest)))
         return encoded
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for this file; it stays while the worker does."""
-    key = (path, drops_space)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, drops_space)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]

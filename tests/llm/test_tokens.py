@@ -15,9 +15,7 @@ from . import cases
 
 @lru_cache
 def tokenizer(name):
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def ids_of(name, text):
@@ -27,11 +25,14 @@ def ids_of(name, text):
 TEXTS = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb c\td", "x.\nY z", "it's  'll", " a   b", "e ́x", "a\x1cb \x1c c", "<|endoftext|> <|startoftext|>", "漢字 ß İ Σ ς 😀", "\r\n a \r\n", "\n", "\n\n a"]
 
 
-@pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_ids_are_those_of_the_library(spark, name, drops):
+TEXTS += ["hi <|endoftext|> there", "a<|endoftext|>b", " <|startoftext|>x <|ENDOFTEXT|>", "<|endoftext", "x\n<|endoftext|>\ny  z"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library(spark, name):
     texts = TEXTS + [r.text or "" for r in cases.documents(spark).collect()]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    got = Encoder(tokenizer_path(name), drops).encode(texts)
+    got = Encoder(tokenizer_path(name)).encode(texts)
     for text, data in zip(texts, got, strict=True):
         assert np.frombuffer(data, "<u4").tolist() == ids_of(name, text), text[:60]
 
@@ -132,3 +133,75 @@ def test_random_access(spark):
         with pytest.raises(IndexError):
             tokenfile.sequence(path, -(-f.n_tokens // 64) + 256)
     assert at == len(stream) and sum(f.n_docs for f in files) == len(order)
+
+
+def test_other_files_go_through_the_whole_pipeline(tmp_path):
+    import json
+
+    settings = json.load(open(tokenizer_path("byte_bpe_50k.json")))
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    other = Tokenizer.from_file(str(tmp_path / "other.json"))
+    for text, data in zip(TEXTS, Encoder(str(tmp_path / "other.json")).encode(TEXTS), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    from splatframe.llm import tokens
+
+    memory = tokens._Remembered(lambda k: k.encode() * 4, 40_000)
+    for i in range(5000):
+        assert memory[f"word{i % 700}"] == f"word{i % 700}".encode() * 4
+        assert len(memory) + len(memory._before) < 40_000 / 150
+    memory["x" * 1000]
+    assert "x" * 1000 not in memory
+
+
+def test_differencing_keeps_filled_windows_only():
+    import tracemalloc
+
+    tracemalloc.start()
+    window = packing.difference([1] * 100_000, 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fill = np.bincount(window, minlength=300)
+    assert fill.max() - fill.min() <= 1 and peak < 120e6
+
+
+def test_differencing_is_the_dense_one():
+    def dense(sizes, m):
+        parts = [(max(s, 0), i, [[0, []] for _ in range(m - 1)] + [[s, [i]]]) for i, s in enumerate(sizes)]
+        node = len(sizes)
+        while len(parts) > 1:
+            parts.sort(key=lambda p: (-p[0], p[1]))
+            (_, _, x), (_, _, y), *parts = parts
+            made = sorted(([a + b, p + q] for (a, p), (b, q) in zip(x, y[::-1], strict=True)), key=lambda w: w[0])
+            made = [[s - made[0][0], p] for s, p in made]
+            parts.append((made[-1][0], node, made))
+            node += 1
+        return sorted(sum(sizes[i] for i in p) for _, p in parts[0][2])
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 3), (2, 2), (7, 3), (30, 4), (80, 9)):
+        sizes = rng.choice(100_000, n, replace=False).tolist()  # sums that differ, so that ties don't matter
+        assert sorted(np.bincount(packing.difference(sizes, m), sizes, minlength=m).tolist()) == dense(sizes, m)
+
+
+def test_one_row_very_often_is_dealt_out(spark):
+    rows = spark.range(100_000).selectExpr("7L doc_id", "0L start", "1L length", "5L ids_crc32", "1L doc_tokens")
+    packed = packing.pack_pieces(rows, 256, 8, group_pieces=4096).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert sorted(r.sequence_id for r in packed) == list(range(len(packed))) and sum(r[1] for r in packed) == 100_000 and max(r[1] for r in packed) <= 256
+    assert len(packed) <= 1.1 * 100_000 / 256 + 60
+
+
+def test_files_by_size_and_wide_ids(spark):
+    docs = cases.documents(spark)
+    folder = new_folder(spark, "t")
+    files = tokenfile.write_token_files(docs, folder, file_bytes=20_000, end=70_000)
+    assert files.count() > 3
+    rows = tokenfile.read_token_files(files).orderBy("start").collect()
+    assert rows[0].doc_id is None and sum(r.n_tokens for r in rows) == sum(len(ids_of(tokenfile.TOKENIZER, r.text)) + 1 for r in docs.collect())
+    one = next(r for r in rows if r.doc_id == 64)
+    assert one.ids_crc32 == zlib.crc32(np.array([*ids_of(tokenfile.TOKENIZER, "one"), 70_000], "<u4").tobytes())
+    again = docs.where("doc_id = 64").crossJoin(spark.range(3000)).select("doc_id", "text")
+    assert tokenfile.token_ids(again).agg({"n_tokens": "sum"}).first()[0] == 3000 * one.n_tokens
