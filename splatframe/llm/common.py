@@ -78,6 +78,11 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """*df* with its columns named c0, c1, and so on, for functions that can't take all names; ``toDF`` names them again."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def with_field(df: DataFrame, name: str, kind) -> StructType:
     """The schema of *df* and one more column."""
     return StructType([*df.schema.fields, StructField(name, kind)])

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
-from .common import by_chunk
+from .common import by_chunk, numbered, quoted, with_field
 
 # Fixed values of the MPEG audio format: kbit/s by bitrate index 1 to 14, and Hz.
 KBPS = {
@@ -390,44 +391,45 @@ def _describe(data: bytes | None, stored: bool) -> dict:
     return out
 
 
-def _append(df: DataFrame, name: str, ddl: str, make) -> DataFrame:
-    """*df* with column *name* (in place of one of that name), made by *make* from record batches."""
-    if name in df.columns:
-        df = df.drop(name)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` {ddl}"])
-    return df.mapInArrow(by_chunk(make, 512), schema)
+def _others(df: DataFrame, *names: str) -> DataFrame:
+    """*df* without the columns *names*."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(quoted(c)) for c in df.columns if c.lower() not in taken))
 
 
 def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Column *media*: the stream that stores the UTF-8 bytes of column *text*, padded."""
+    """Column *media* (in place of one of that name): the stream that stores the UTF-8 bytes of column *text*, padded."""
+
+    df = _others(df, media)
+    k = df.columns.index(text)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        made = pa.array([encode(pad_payload(x or b"")) for x in texts.to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, media])
+        made = pa.array([encode(pad_payload(x or b"")) for x in batch.column(k).cast(pa.binary()).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "made"])
 
-    return _append(df, media, "binary", make)
+    rows = numbered(df)
+    return rows.mapInArrow(by_chunk(make, 512), with_field(rows, "made", BinaryType())).toDF(*df.columns, media)
 
 
 def probe_media(df: DataFrame, media: str = "media", into: str = "probe", stored: bool = True) -> DataFrame:
-    """Column *into*, a struct of all that ``probe`` finds in column *media*, which is dropped.
+    """Column *into* (in place of one of that name), a struct of all that ``probe`` finds in column *media*, which is dropped.
 
     With *stored* the streams are ``encode_media``'s, and what they carry is read back and digested.
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = batch.schema.get_field_index(media)
-        made = pa.array([_describe(x, stored) for x in batch.column(k).to_pylist()], _PROBE)
-        return pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), made], [*(n for i, n in enumerate(batch.schema.names) if i != k), into])
+        made = pa.array([_describe(x, stored) for x in batch.column(batch.num_columns - 1).to_pylist()], _PROBE)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], "made"])
 
-    names = [c for c in df.columns if c not in (media, into)]
-    types = dict(df.dtypes)
-    return df.select(*(F.col(f"`{c}`") for c in [*names, media])).mapInArrow(by_chunk(make, 512), ", ".join([*(f"`{c}` {types[c]}" for c in names), f"`{into}` {PROBE_DDL}"]))
+    kept = _others(df, media, into)
+    kind = StructType.fromDDL(f"probe {PROBE_DDL}").fields[0].dataType
+    rows = numbered(df.select(*(F.col(quoted(c)) for c in kept.columns), F.col(quoted(media))))
+    return rows.mapInArrow(by_chunk(make, 512), with_field(numbered(kept), "made", kind)).toDF(*kept.columns, into)
 
 
 def documents_as_media(documents: DataFrame) -> DataFrame:
     """Each document stored as MPEG audio and read back; see the module's docstring for nulls and empty texts."""
     rows = documents.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     rows = probe_media(encode_media(rows).drop("text"))
-    kept = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "hertz", "crc_checked", "crc_failed"]
+    kept = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "hertz", "seconds", "offsets", "crc_checked", "crc_failed"]
     return rows.select("doc_id", "n_bytes", *(F.col(f"probe.{c}").alias(c) for c in kept))

@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import pandas as pd
+
 from splatframe.llm import chat
 
 
@@ -32,3 +35,18 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert chat.maximal_conversations(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")).count() == 0
+
+
+def test_sql_agrees_on_nulls(spark):
+    rows = [(300, 0, None, "x"), (300, 1, "user", "y"), (301, 0, None, "x"), (302, 0, "user", None), (302, 1, None, None), (303, 0, "user", None), (304, None, "user", "say"), (304, 0, "user", "do"), (305, None, "user", "say")]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    conversations["turn"] = conversations["turn"].astype("Int64")
+    want = duckdb.sql(chat.ORACLE).fetchall()
+    got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) == brute(rows)
+
+
+def test_many_turns(spark):
+    rows = [(c, t, "user", f"say {t}") for c in (1, 2) for t in range(3000 - c)]
+    got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(1, 2999)]

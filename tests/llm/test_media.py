@@ -125,3 +125,19 @@ def test_any_stream_column(spark):
     rows = {r.id: r for r in media.probe_media(df, "clip", "found", stored=False).collect()}
     assert rows[1].found.frames == 2 and rows[1].found.seconds == 2 * 1152 / 32000 and rows[1].probe == "kept"
     assert rows[2].found.frames == 0 and rows[2].found.offsets == []
+
+
+def test_durations_and_seek_offsets_are_in_the_rows(spark):
+    docs = cases.documents(spark)
+    rows = {r.doc_id: r for r in media.documents_as_media(docs).collect()}
+    for r in docs.where("doc_id is not null").collect():
+        stream = media.encode(media.pad_payload((r.text or "").encode()))
+        got = rows[r.doc_id]
+        assert len(got.offsets) == got.frames and got.seconds == got.frames * 1152 / 32000
+        assert all(media.header(stream[at : at + 4]) is not None for at in got.offsets)
+
+
+def test_names_that_need_quotes(spark):
+    df = spark.createDataFrame([(1, "some text", "x", "y")], "id bigint, `te``xt` string, `a``b c` string, Media string")
+    out = media.probe_media(media.encode_media(df, "te`xt"))
+    assert out.columns == ["id", "te`xt", "a`b c", "probe"] and out.first().probe.payload_bytes == 64

@@ -53,3 +53,14 @@ def test_sql_agrees(spark):
     got = sorted(map(tuple, urlfilter.url_verdicts(spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id bigint, url string")).collect()), key=str)
     rows = duckdb.sql(f"SELECT page_id, host, path, rule, verdict FROM ({urlfilter.ORACLE})").fetchall()
     assert sorted([(a, *b) for a, *b in rows], key=str) == got
+
+
+def test_clashing_names(spark):
+    names = ["said", "judged", "best", "row", "short", "digest", "a`b", "labels"]
+    ddl = "page_id bigint, url string" + "".join(f", `{n.replace('`', '``')}` string" for n in names) + ", rule string, verdict string"
+    pages = spark.createDataFrame([(i, u, *names, "x", "y") for i, u in enumerate(URLS)], ddl)
+    rules = spark.createDataFrame(list(urlfilter.RULES), "host string, path string, verdict string")
+    out = urlfilter.judge_urls(pages, rules)
+    assert out.columns == ["page_id", "url", *names, "host", "path", "rule", "verdict"]
+    got = {r.page_id: tuple(r)[-4:] for r in out.collect()}
+    assert got == {i: judge(u, urlfilter.RULES) for i, u in enumerate(URLS)}
