@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept under ``spark.checkpoint.dir`` (a temporary folder where the session names none)."""
+    """The same rows, computed once and kept under ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder serves, which only a local master can use; any other raises an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="splatframe-")
             atexit.register(shutil.rmtree, folder, True)
             folder = f"file://{folder}"
