@@ -5,13 +5,14 @@ noisy-or of its telling sentences and of one leak term, ``1 - (1 - leak) * produ
 words' weights speak for toxicity and its p is at least ``TELLING``; the others count as 0, so however many sentences a text has, they
 don't add up to a rejection. What toxic documents no weight explains is in the leak, once a document. The weights are fitted to labels of whole documents
 alone, through the noisy-or of all sentences with a feature, until the gradient vanishes; afterwards each sentence's own score tells
-which ones offend. A word's weight is the sum over its features: the word itself, its prefixes and its suffixes. Only the
-``FEATURES`` features carry weight that speak most for toxic documents in the training sample.
+which ones offend. A word's weight is the sum over its features: the word itself, its prefixes and its suffixes. All features that
+tell toxic from other documents in the training sample, for or against, carry weight, however many: those in at least ``LEAST_DOCS`` documents and with ``LEAST_Z`` standard deviations between their
+rates; on the others the sample has no evidence, and their weight is 0.
 
 The fit uses at most ``max_train_docs`` labelled documents, those with the
-least seeded hashes (4,000 by default: a documented, fixed bound, so what the driver holds
-doesn't grow). Every document is scored, over its whole text, in one pass without a shuffle; the model that is broadcast
-has at most ``FEATURES`` weights.
+least seeded hashes (4,000 by default), as far as they have ``max_train_words`` words (4 million by default) together: documented, fixed bounds, so what the driver holds
+doesn't grow. Executors cut their texts into sentences and words; the driver gets these, each word once a sentence. Every document is scored, over its whole text, in one pass without a shuffle; the model that is broadcast
+has one weight for a feature of the sample at most.
 
 Defined results: a null, empty or wordless text has no sentence and scores 0. Repeated rows score alike.
 A document with several labels counts as toxic if one of them says so;
@@ -31,15 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import by_chunk
+from .common import by_chunk, cut, numbered
 
-MAX_TRAIN_DOCS = 4000
-FEATURES = 500
+MAX_TRAIN_DOCS, MAX_TRAIN_WORDS = 4000, 4_000_000
 #: Lengths of the prefixes and suffixes that are features.
 ENDS = range(3, 7)
-#: A feature needs this many toxic documents, and this many standard deviations between its rates in toxic and other ones.
-LEAST_DOCS, LEAST_Z = 3, 2.5
+#: Evidence for a weight: this many documents, and this many standard deviations between the rates in toxic and other ones.
+LEAST_DOCS, LEAST_Z = 3, 3.0
 #: The least p of a sentence that counts in its document's score.
 TELLING = 0.25
 _TELLING_Z = math.log(TELLING / (1 - TELLING))
@@ -93,24 +94,40 @@ def _softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
-def telling_features(docs: list[list[list[str]]], y: np.ndarray, most: int = FEATURES) -> list[str]:
-    """The features whose rate in toxic documents stands out most from that in the others."""
+def telling_features(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
+    """The features whose rates in toxic documents and in the others differ."""
     toxic, other = Counter(), Counter()
+    known: dict[str, set[str]] = {}
     for words, label in zip(docs, y, strict=True):
-        (toxic if label else other).update(set().union(*map(features, {w for s in words for w in s})))
+        (toxic if label else other).update(set().union(*(known.get(w) or known.setdefault(w, features(w)) for s in words for w in s)))
     n, m = float(y.sum()), float((1 - y).sum())
     found = []
-    for f, a in toxic.items():
-        if a >= LEAST_DOCS:
-            b = other[f]
+    for f in toxic.keys() | other.keys():
+        a, b = toxic[f], other[f]
+        if a + b >= LEAST_DOCS:
             p = (a + b) / (n + m)
             z = (a / n - b / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-            if z > LEAST_Z:
-                found.append((-z, f))
-    return [f for _, f in sorted(found)[:most]]
+            if abs(z) > LEAST_Z:
+                found.append(f)
+    return sorted(found)
 
 
-def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 5000, rate: float = 0.1, decay: float = 1e-4, least: float = 1e-6) -> Model:
+def loss_and_gradient(x: np.ndarray, y: np.ndarray, sentence: np.ndarray, place: np.ndarray, doc: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """The noisy-or's log loss (with half *decay* times the squared weights) and its derivatives at *x*: the weights, the bias, the leak's log-odds.
+
+    *sentence* and *place*: the sentence and the number of each feature met; *doc*: the document of each sentence.
+    """
+    w, b, leak = x[:-2], x[-2], x[-1]
+    z = np.clip(b + np.bincount(sentence, w[place], minlength=len(doc)), -500, 500)
+    missed = np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)) - np.logaddexp(0, leak)  # log of (1 - leak) * product of 1 - p
+    hit = np.maximum(-np.expm1(missed), 1e-12)
+    off = (hit - y) / hit / len(y)
+    dz = off[doc] / (1 + np.exp(-z))
+    g = np.concatenate([np.bincount(place, dz[sentence], minlength=len(w)) + decay * w, [dz.sum(), off.sum() * _sigmoid(leak)]])
+    return float(-(y * np.log(hit) + (1 - y) * missed).mean() + decay / 2 * (w @ w)), g
+
+
+def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 1000, rate: float = 0.1, decay: float = 1e-4, least: float = 1e-5) -> Model:
     """Full-batch Adam on the noisy-or's log loss, until no derivative is over *least* (*epochs* steps at most). *docs*: for each document its sentences' words."""
     kept = [i for i, d in enumerate(docs) if d]
     y = np.asarray(labels, np.float64)[kept]
@@ -138,13 +155,7 @@ def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 5000, rat
     x = np.concatenate([np.zeros(k), [-4.0, math.log(mean / (1 - mean))]])  # weights, bias, leak
     m, v = np.zeros(k + 2), np.zeros(k + 2)
     for step in range(1, epochs + 1):
-        w, b, leak = x[:k], x[k], x[k + 1]
-        z = np.clip(b + np.bincount(sentence, w[place], minlength=len(doc)), -500, 500)
-        missed = np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)) - np.logaddexp(0, leak)  # log of (1 - leak) * product of 1 - p
-        hit = np.maximum(-np.expm1(missed), 1e-12)
-        off = (hit - y) / hit / len(y)
-        dz = off[doc] / (1 + np.exp(-z))
-        g = np.concatenate([np.bincount(place, dz[sentence], minlength=k) + decay * w, [dz.sum(), off.sum() * _sigmoid(leak)]])
+        _, g = loss_and_gradient(x, y, sentence, place, doc, decay)
         if np.abs(g).max() <= least:
             break
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -152,10 +163,12 @@ def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 5000, rat
     return Model(dict(zip(names, x[:k].tolist(), strict=True)), float(x[k]), float(x[k + 1]))
 
 
-def train(documents: DataFrame, labels: DataFrame, train_if: Callable[[Column], Column], max_train_docs: int = MAX_TRAIN_DOCS, label: str = "toxic") -> Model:
+def train(
+    documents: DataFrame, labels: DataFrame, train_if: Callable[[Column], Column], max_train_docs: int = MAX_TRAIN_DOCS, label: str = "toxic", max_train_words: int = MAX_TRAIN_WORDS
+) -> Model:
     """Fits a model to the labelled documents whose ``doc_id`` satisfies *train_if*.
 
-    At most *max_train_docs* of them, by seeded hash, come to the driver.
+    At most *max_train_docs* of them, by seeded hash, train, and of these the first that have *max_train_words* words together.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -167,8 +180,17 @@ def train(documents: DataFrame, labels: DataFrame, train_if: Callable[[Column],
     )
     # Of repeated rows with a chosen id, the least text trains.
     chosen = documents.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = sorted(zip(*chosen.select("doc_id", "y", "text").toArrow().to_pydict().values(), strict=True))
-    return fit([[s for _, _, s in sentences(text or "")] for _, _, text in rows], np.array([y for _, y, _ in rows], np.float64))
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bags = [[sorted(set(s)) for _, _, s in sentences(text or "")] for text in batch.column("text").to_pylist()]
+        sizes = pa.array([sum(map(len, bag)) for bag in bags], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), sizes, pa.array(bags, pa.list_(pa.list_(pa.string())))], ["doc_id", "y", "size", "bag"])
+
+    bags = cut(chosen.mapInArrow(by_chunk(make, 64), f"doc_id {dict(documents.dtypes)['doc_id']}, y int, size bigint, bag array<array<string>>"))
+    so_far = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))  # at most max_train_docs rows
+    few = bags.select("doc_id", "size").withColumn("so_far", so_far).where(F.col("so_far") <= max_train_words).select("doc_id")
+    rows = sorted(zip(*bags.join(few, "doc_id").select("doc_id", "y", "bag").toArrow().to_pydict().values(), strict=True))
+    return fit([bag for _, _, bag in rows], np.array([y for _, y, _ in rows], np.float64))
 
 
 _RESULT = "doc_id bigint, score double, n_sentences int, n_offending int, worst_start int, worst_end int"
@@ -247,10 +269,12 @@ def keep(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     shared = documents.sparkSession.sparkContext.broadcast(model)
     cache: list[_Weights] = []
 
+    at = documents.columns.index("text")
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not cache:
             cache.append(_Weights(shared.value))
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        return batch.filter(pa.array([score_text(t, cache[0], shared.value.bias, shared.value.leak)[0] < threshold for t in texts], pa.bool_()))
+        return batch.filter(pa.array([score_text(t, cache[0], shared.value.bias, shared.value.leak)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(by_chunk(make, 1024), documents.schema)
+    rows = numbered(documents)
+    return rows.mapInArrow(by_chunk(make, 1024), rows.schema).toDF(*documents.columns)

@@ -87,3 +87,55 @@ def test_query_on_the_tables(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
     held = [(rows[r.doc_id].predicted, r.toxic) for r in labels if rows[r.doc_id].held_out]
     assert np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_the_gradient_is_that_of_the_loss_and_the_loss_that_of_the_noisy_or():
+    rng = np.random.default_rng(3)
+    docs, k = [[[0, 1], [2]], [[1]], [[3, 3], [0], [2, 1]], [[3]]], 4
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    sentence = np.array([n for n, s in enumerate(s for d in docs for s in d) for _ in s])
+    place = np.array([f for d in docs for s in d for f in s])
+    doc = np.array([i for i, d in enumerate(docs) for _ in d])
+    for _ in range(5):
+        x = rng.normal(0, 1, k + 2)
+        loss, g = toxicity.loss_and_gradient(x, y, sentence, place, doc, 0.01)
+        sigmoid = lambda z: 1 / (1 + math.exp(-z))
+        want = 0.005 * sum(w * w for w in x[:k])
+        for d, label in zip(docs, y, strict=True):
+            miss = (1 - sigmoid(x[k + 1])) * math.prod(1 - sigmoid(x[k] + sum(x[f] for f in s)) for s in d)
+            want -= math.log(1 - miss if label else miss) / len(docs)
+        assert loss == pytest.approx(want)
+        for i in range(k + 2):
+            step = np.eye(k + 2)[i] * 1e-6
+            up, down = (toxicity.loss_and_gradient(x + s, y, sentence, place, doc, 0.01)[0] for s in (step, -step))
+            assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_the_fit_ends_where_no_derivative_is_left():
+    docs = [[["good", "day"], ["vile", "thing"]], [["good", "thing"]], [["day"], ["rotten", "vile"]], [["nice", "day"]]] * 12
+    y = np.array([1, 0, 1, 0] * 12, float)
+    model = toxicity.fit(docs, y, epochs=5000, decay=1e-2)
+    assert model.weights["=vile"] > 0 > model.weights["=nice"]
+    names = sorted(model.weights)
+    number = {f: i for i, f in enumerate(names)}
+    met = [(n, number[f], i) for n, (i, s) in enumerate((i, s) for i, d in enumerate(docs) for s in d) for w in s for f in toxicity.features(w) if f in number]
+    kept = sorted({n for n, _, _ in met})
+    sentence, place = np.array([kept.index(n) for n, _, _ in met]), np.array([p for _, p, _ in met])
+    doc = np.array([next(i for m, _, i in met if m == n) for n in kept])
+    _, g = toxicity.loss_and_gradient(np.array([*(model.weights[f] for f in names), model.bias, model.leak]), y, sentence, place, doc, 1e-2)
+    assert np.abs(g).max() < 1e-4
+
+
+def test_the_training_sample_is_bounded_in_words(spark, monkeypatch):
+    docs, labels, _ = corpus(spark, 300)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda docs, y: seen.append(docs) or toxicity.Model())
+    for most in (10**6, 2000, 0):
+        toxicity.train(docs, labels, lambda c: ~toxicity.held_out(c), max_train_words=most)
+    whole, part, none = ([sum(map(len, d)) for d in s] for s in seen)
+    assert len(whole) > 200 and 1900 < sum(part) <= 2000 and not none
+
+
+def test_names_that_need_quotes(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id bigint, text string, `a``b` string")
+    assert toxicity.keep(docs, toxicity.Model()).first() == (1, "a b", "x")
