@@ -46,12 +46,21 @@ def mahalanobis(d: Vec3, c: Sym3) -> Column:
     return xx * d.x * d.x + yy * d.y * d.y + zz * d.z * d.z + F.lit(2.0) * (xy * d.x * d.y + xz * d.x * d.z + yz * d.y * d.z)
 
 
-def density(d: Vec3, c: Sym3, opacity: Column) -> Column:
-    """``opacity * exp(-m^2 / 2)``; 0 where the exponent is positive or under -15."""
-    power = F.lit(-0.5) * mahalanobis(d, c)
+def power(d: Vec3, c: Sym3) -> Column:
+    """The exponent of the density at offset *d*."""
+    return F.lit(-0.5) * mahalanobis(d, c)
+
+
+def density_of(power: Column, opacity: Column) -> Column:
+    """``opacity * exp(power)``; 0 where the exponent is positive or under -15."""
     return F.when((power > 0) | (power < -15), F.lit(0.0)).otherwise(opacity * F.exp(power))
 
 
+def density(d: Vec3, c: Sym3, opacity: Column) -> Column:
+    """The density at offset *d*. Where rows are many, bind ``power`` first."""
+    return density_of(power(d, c), opacity)
+
+
 def contact_points(c: Sym3, det_scale: Column, iso: Column) -> tuple[Vec3, Vec3, Vec3]:
     """Offsets from the mean where the iso surface touches the faces of its box (one of each opposite two)."""
     h = cofactors(c)

@@ -1,12 +1,12 @@
 """Intersection tests as Column expressions.
 
-The costly ones bind their intermediate values with a one-element ``transform``, so that each is computed once, and are
-meant to stand inside ``when(boxes overlap, ...)``: Catalyst may reorder chained filters, but not a CASE.
+They are plain arithmetic without lambdas, so that Spark compiles them. The costly ones come in steps: an operator adds the values of one step as columns
+before the next step refers to them, so that each is computed once, and binds the last step (``lineage.bind``), so that no filter on it is pushed down. Cheap tests come first, as filters on columns that are there already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +15,6 @@ from .gaussian import Sym3, mahalanobis
 from .vec3 import Vec3, add, dot, sub
 
 
-def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
-    """*body* of a struct of *values*, each computed once."""
-    return F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), body)[0]
-
-
 def boxes_overlap(a: tuple[Vec3, Vec3], b: tuple[Vec3, Vec3]) -> Column:
     """Closed: boxes that touch overlap."""
     (a0, a1), (b0, b1) = a, b
@@ -32,41 +27,37 @@ def box_inside(inner: tuple[Vec3, Vec3], outer: tuple[Vec3, Vec3]) -> Column:
     return (o0.x <= i0.x) & (i1.x <= o1.x) & (o0.y <= i0.y) & (i1.y <= o1.y) & (o0.z <= i0.z) & (i1.z <= o1.z)
 
 
-def segment_quadratic(p: Vec3, d: Vec3, c: Sym3, iso: Column) -> dict[str, Column]:
-    """Coefficients of the distance along ``p + t d``, less iso: a t^2 + b t + c."""
+def transformed(v: Vec3, c: Sym3) -> Vec3:
+    """The symmetric matrix *c* times *v*."""
     xx, xy, xz, yy, yz, zz = c
-    cd = Vec3(xx * d.x + xy * d.y + xz * d.z, xy * d.x + yy * d.y + yz * d.z, xz * d.x + yz * d.y + zz * d.z)
-    cp = Vec3(xx * p.x + xy * p.y + xz * p.z, xy * p.x + yy * p.y + yz * p.z, xz * p.x + yz * p.y + zz * p.z)
-    return {"a": dot(d, cd), "b": F.lit(2.0) * dot(p, cd), "c": dot(p, cp) - iso}
+    return Vec3(xx * v.x + xy * v.y + xz * v.z, xy * v.x + yy * v.y + yz * v.z, xz * v.x + yz * v.y + zz * v.z)
 
 
-def roots(q: Column) -> tuple[Column, Column, Column]:
-    """Discriminant, entry and exit of a quadratic (null roots where a is 0)."""
-    disc = q["b"] * q["b"] - F.lit(4.0) * q["a"] * q["c"]
-    half = F.try_divide(F.sqrt(F.greatest(disc, F.lit(0.0))), F.lit(2.0) * q["a"])
-    mid = F.try_divide(-q["b"], F.lit(2.0) * q["a"])
-    return disc, mid - half, mid + half
-
+def segment_quadratic(p: Vec3, d: Vec3, c: Sym3, iso: Column) -> tuple[Column, Column, Column]:
+    """Coefficients of the distance along ``p + t d``, less iso: a t^2 + b t + c."""
+    cd, cp = transformed(d, c), transformed(p, c)
+    return dot(d, cd), F.lit(2.0) * dot(p, cd), dot(p, cp) - iso
 
-def _solid_hit(q: Column) -> Column:
-    """A tangent misses, and so does a segment that only ends or starts on the surface."""
-    disc, enter, leave = roots(q)
-    return F.coalesce((disc > 0) & (enter < 1) & (leave > 0), F.lit(False))
 
+def solid_hit(a: Column, b: Column, c: Column) -> Column:
+    """Whether a segment with this quadratic meets the solid: a tangent misses, and so does a segment that only ends or starts on the surface.
 
-def segment_hits_ellipsoid(p: Vec3, end: Vec3, c: Sym3, iso: Column) -> Column:
-    """Whether the segment (relative to the mean) meets the solid ellipsoid."""
-    return F.exists(F.array(F.struct(*(v.alias(n) for n, v in segment_quadratic(p, sub(end, p), c, iso).items()))), _solid_hit)
+    It enters before 1 and leaves after 0, both roots multiplied by ``2 |a|``; where a is 0 it misses.
+    """
+    disc = b * b - F.lit(4.0) * a * c
+    root, side = F.sqrt(F.greatest(disc, F.lit(0.0))), F.signum(a)
+    return (disc > 0) & (side * (-b - root) < F.lit(2.0) * F.abs(a)) & (side * (root - b) > 0)
 
 
-def chord_middle(p: Vec3, end: Vec3, c: Sym3, iso: Column) -> Column:
-    """The parameter of the middle of the part of the segment within the ellipsoid; null where it misses."""
+def chord_middle(a: Column, b: Column, c: Column) -> Column:
+    """The parameter of the middle of the part of the segment within the solid, where ``solid_hit``."""
+    root = F.sqrt(F.greatest(b * b - F.lit(4.0) * a * c, F.lit(0.0)))
+    half, mid = F.try_divide(root, F.lit(2.0) * a), F.try_divide(-b, F.lit(2.0) * a)
+    return (F.greatest(mid - half, F.lit(0.0)) + F.least(mid + half, F.lit(1.0))) / 2
 
-    def middle(q: Column) -> Column:
-        _, enter, leave = roots(q)
-        return F.when(_solid_hit(q), (F.greatest(enter, F.lit(0.0)) + F.least(leave, F.lit(1.0))) / 2)
 
-    return let(segment_quadratic(p, sub(end, p), c, iso), middle)
+#: A parameter that says that a segment misses; hits are from 0 to 1. It isn't null, for Spark compiles what is never null to less.
+MISS = -1.0
 
 
 def cube_edges(p: Vec3, size: Column) -> list[tuple[Vec3, int]]:
@@ -82,31 +73,67 @@ def along(axis: int, size: Column) -> Vec3:
     return Vec3(*(size if i == axis else F.lit(0.0) for i in range(3)))
 
 
-def cube_edge_hits(p: Vec3, size: Column, c: Sym3, iso: Column) -> Column:
-    """Whether one of the twelve edges of the cube at *p* (relative to the mean) meets the solid ellipsoid."""
-    rows = [F.struct(s.x.alias("x"), s.y.alias("y"), s.z.alias("z"), *(v.alias(n) for n, v in zip("uvw", along(axis, size), strict=True))) for s, axis in cube_edges(p, size)]
+def cube_terms(p: Vec3, size: Column, c: Sym3, iso: Column) -> dict[str, Column]:
+    """What the tests of a cube's twelve edges share: the matrix times each axis (``_d0x`` ...), and the distance less iso at the corners where edges start (``_k000`` ..., by axis 0 low or 1 high)."""
+    out = {}
+    for axis in range(3):
+        out |= {f"_d{axis}{n}": v for n, v in zip("xyz", transformed(along(axis, size), c), strict=True)}
+    at = lambda bits: Vec3(*(p[k] + (size if bit == "1" else F.lit(0.0)) for k, bit in enumerate(bits)))
+    for bits in ("000", "001", "010", "011", "100", "101", "110"):
+        corner = at(bits)
+        out[f"_k{bits}"] = dot(corner, transformed(corner, c)) - iso
+    return out
+
+
+def cube_slopes(p: Vec3, size: Column) -> dict[str, Column]:
+    """The linear coefficients along the cube's twelve edges (``_b0_00`` ..., by axis and by low or high on the other two); of columns as ``cube_terms`` has them."""
+    out = {}
+    for axis, i, j in _EDGES:
+        cd, start = Vec3(*(F.col(f"_d{axis}{n}") for n in "xyz")), list(p)
+        for k, high in zip((k for k in range(3) if k != axis), (i, j), strict=True):
+            start[k] = start[k] + (size if high else F.lit(0.0))
+        out[f"_b{axis}_{i}{j}"] = F.lit(2.0) * dot(Vec3(*start), cd)
+    return out
+
+
+def cube_edge_hits(size: Column) -> list[Column]:
+    """Whether each of the cube's twelve edges meets the solid ellipsoid; of columns as ``cube_terms`` and ``cube_slopes`` have them."""
+    out = []
+    for axis, i, j in _EDGES:
+        corner = [str(i), str(j)]
+        corner.insert(axis, "0")
+        out.append(solid_hit(size * F.col(f"_d{axis}{'xyz'[axis]}"), F.col(f"_b{axis}_{i}{j}"), F.col(f"_k{''.join(corner)}")))
+    return out
+
 
-    def hit(e: Column) -> Column:
-        q = segment_quadratic(Vec3(e["x"], e["y"], e["z"]), Vec3(e["u"], e["v"], e["w"]), c, iso)
-        return F.exists(F.array(F.struct(*(v.alias(n) for n, v in q.items()))), _solid_hit)
+_EDGES = [(axis, i, j) for axis in range(3) for i in (0, 1) for j in (0, 1)]
 
-    return F.exists(F.array(*rows), hit)
+
+def face_parameters(p: Vec3, size: Column, contacts: tuple[Vec3, Vec3, Vec3]) -> dict[str, Column]:
+    """Where the diameter between a contact point (0) and its opposite (1) meets the planes of the cube's two faces that face its axis (``_f00`` ..., by axis and low or high);
+    ``MISS`` if it is parallel to them."""
+    out = {}
+    for i, q in enumerate(contacts):
+        for n, shift in enumerate((F.lit(0.0), size)):
+            out[f"_f{i}{n}"] = F.when(q[i] != 0, (q[i] - (p[i] + shift)) / (F.lit(2.0) * q[i])).otherwise(MISS)
+    return out
 
 
 def face_pierced(p: Vec3, size: Column, contacts: tuple[Vec3, Vec3, Vec3]) -> Column:
-    """Whether the diameter between a contact point and its opposite pierces a face of the cube that faces its axis."""
+    """Whether one of these diameters pierces such a face; of columns as ``face_parameters`` has them."""
     hits = []
     for i, q in enumerate(contacts):
         j, k = [n for n in range(3) if n != i]
-        for shift in (F.lit(0.0), size):
-            t = F.try_divide(q[i] - (p[i] + shift), F.lit(2.0) * q[i])
+        for n in (0, 1):
+            t = F.col(f"_f{i}{n}")
             f = F.lit(1.0) - F.lit(2.0) * t
-            inside = [(p[n] <= f * q[n]) & (f * q[n] <= p[n] + size) for n in (j, k)]
-            hits.append(F.coalesce((t >= 0) & (t <= 1) & inside[0] & inside[1], F.lit(False)))
-    out = hits[0]
-    for h in hits[1:]:
-        out = out | h
-    return out
+            inside = [(p[m] <= f * q[m]) & (f * q[m] <= p[m] + size) for m in (j, k)]
+            hits.append((t >= 0) & (t <= 1) & inside[0] & inside[1])
+    return any_of(hits)
+
+
+def any_of(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
 def overlap_box(a: tuple[Vec3, Vec3], b: tuple[Vec3, Vec3]) -> tuple[Vec3, Vec3]:
@@ -126,20 +153,15 @@ def middle(box: tuple[Vec3, Vec3]) -> Vec3:
 
 
 def plane_parameter(start: Vec3, d: Vec3, mean: Vec3, normal: Vec3) -> Column:
-    """Where the line meets the plane; null where it is as good as parallel (neither is normalised)."""
+    """Where the line meets the plane; ``MISS`` where it is as good as parallel (neither is normalised)."""
     steep = dot(d, normal)
-    return F.when(F.abs(steep) >= 1e-6, F.try_divide(dot(sub(mean, start), normal), steep))
-
-
-def disc_parameter(start: Vec3, d: Vec3, mean: Vec3, normal: Vec3, c: Sym3, iso: Column) -> Column:
-    """Where the segment meets the planar Gaussian's disc (closed at both ends and at the rim); null if it doesn't."""
+    return F.when(F.abs(steep) >= 1e-6, dot(sub(mean, start), normal) / steep).otherwise(MISS)
 
-    def inside(v: Column) -> Column:
-        t = v["t"]
-        at = add(start, Vec3(t * d.x, t * d.y, t * d.z))
-        return F.when((t >= 0) & (t <= 1) & (mahalanobis(sub(at, mean), c) <= iso), t)
 
-    return let({"t": plane_parameter(start, d, mean, normal)}, inside)
+def on_disc(t: Column, start: Vec3, d: Vec3, mean: Vec3, c: Sym3, iso: Column) -> Column:
+    """*t*, where the line meets the plane, if that is in the segment (closed) and in the planar Gaussian's disc (rim and all); else ``MISS``."""
+    at = add(start, Vec3(t * d.x, t * d.y, t * d.z))
+    return F.when((t >= 0) & (t <= 1) & (mahalanobis(sub(at, mean), c) <= iso), t).otherwise(MISS)
 
 
 def corners_on_both_sides(box: tuple[Vec3, Vec3], mean: Vec3, normal: Vec3) -> Column:

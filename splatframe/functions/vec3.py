@@ -72,8 +72,14 @@ def project_plane(point: Vec3, normal: Vec3, offset: Column) -> Vec3:
     return sub(point, scale(normal, t))
 
 
-def is_not_above(point: Vec3, normal: Vec3, offset: Column) -> Column:
-    return dot(normal, point) + offset <= 0
+def is_not_above(point: Vec3, start: Vec3, along: Vec3, normal: Vec3) -> Column:
+    """Whether *point*, in a plane with *normal*, is on the line from *start* in direction *along* or on its right, seen from where the normal points."""
+    return dot(cross(normal, along), sub(point, start)) <= 0
+
+
+def present(*names: str) -> Column:
+    """Whether none of the columns is null."""
+    return reduce(lambda p, q: p & q, (F.col(n).isNotNull() for n in names))
 
 
 def finite(*columns: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
-from ..functions.gaussian import cofactors, density
-from ..functions.vec3 import finite, point_at, sub, vec
+from ..functions.gaussian import cofactors, density_of, power
+from ..functions.vec3 import add, finite, point_at, present, scale, sub, vec
 from ..lineage import bind
 from ..schema import COVI, EDGE, MEAN, NORMAL, covi, iso_of, require
 from .broadphase import overlap_join
@@ -29,25 +29,37 @@ def _reach(iso: Column) -> list[Column]:
 def _candidates(edges: DataFrame, gaussians: DataFrame, used: list[str], iso: Column) -> DataFrame:
     require(edges, "eid", *sum(EDGE, ()))
     require(gaussians, "gid", *used)
-    gaussians = gaussians.where(finite(*(F.col(c).cast("double") for c in used))).select("gid", *used, iso.alias("_iso")).where(finite(F.col("_iso")))
+    # Filters that say so let Spark leave the handling of nulls out of all that follows.
+    gaussians = gaussians.where(present(*used) & finite(*(F.col(c).cast("double") for c in used))).select("gid", *used, iso.alias("_iso")).where(present("_iso") & finite(F.col("_iso")))
     mean, reach = vec(*MEAN), _reach(F.col("_iso"))
     gaussians = bind(gaussians, {n: m - r for n, m, r in zip(_GBOX[0], mean, reach, strict=True)} | {n: m + r for n, m, r in zip(_GBOX[1], mean, reach, strict=True)})
     a, b = vec(*EDGE[0]), vec(*EDGE[1])
-    edges = edges.select("eid", *sum(EDGE, ())).where(finite(*a, *b))
+    edges = edges.select("eid", *sum(EDGE, ())).where(present(*sum(EDGE, ())) & finite(*a, *b))
     edges = edges.withColumns({n: F.least(x, y) for n, x, y in zip(_EBOX[0], a, b, strict=True)} | {n: F.greatest(x, y) for n, x, y in zip(_EBOX[1], a, b, strict=True)})
     return overlap_join(gaussians, _GBOX, edges, _EBOX).drop(*_GBOX[0], *_GBOX[1], *_EBOX[0], *_EBOX[1])
 
 
-def _ends() -> tuple:
+_FROM, _ALONG = ("_px", "_py", "_pz"), ("_dx", "_dy", "_dz")
+
+
+def _quadratic(rows: DataFrame) -> DataFrame:
+    """*rows* with the segment's start relative to the mean, its direction, and the coefficients ``_a``, ``_b`` and ``_c`` along it."""
     mean = vec(*MEAN)
-    return sub(vec(*EDGE[0]), mean), sub(vec(*EDGE[1]), mean)
+    a, b = sub(vec(*EDGE[0]), mean), sub(vec(*EDGE[1]), mean)
+    rows = bind(rows, dict(zip(_FROM, a, strict=True)) | dict(zip(_ALONG, sub(b, a), strict=True)))
+    return bind(rows, dict(zip(("_a", "_b", "_c"), p.segment_quadratic(vec(*_FROM), vec(*_ALONG), covi(), F.col("_iso")), strict=True)))
+
+
+def _scored(rows: DataFrame, at) -> DataFrame:
+    """eid, gid and the density at offset *at*."""
+    rows = bind(rows, {"_power": power(at, covi())})
+    return rows.select("eid", "gid", density_of(F.col("_power"), F.col("opacity").cast("double")).alias("density"))
 
 
 def edge_pairs(edges: DataFrame, gaussians: DataFrame, iso: float | str | Column = 11.345, max_pairs: int | None = None) -> DataFrame:
     """eid and gid of segments that meet a Gaussian's solid ellipsoid. A tangent misses, and so does one that only ends on it."""
     rows = _candidates(edges, gaussians, [*MEAN, *COVI], iso_of(iso))
-    a, b = _ends()
-    rows = bind(rows, {"_meets": p.segment_hits_ellipsoid(a, b, covi(), F.col("_iso"))}).where("_meets").select("eid", "gid")
+    rows = _quadratic(rows).where(p.solid_hit(F.col("_a"), F.col("_b"), F.col("_c"))).select("eid", "gid")
     return rows if max_pairs is None else rows.orderBy("eid", "gid").limit(max_pairs)
 
 
@@ -61,9 +73,9 @@ def _best(edges: DataFrame, scored: DataFrame) -> DataFrame:
 def edge_best(edges: DataFrame, gaussians: DataFrame, iso: float | str | Column = 11.345) -> DataFrame:
     """eid, hit and gid: the Gaussian that is densest at the middle of its chord. Densities of 0 count."""
     rows = _candidates(edges, gaussians, [*MEAN, *COVI, "opacity"], iso_of(iso))
-    a, b = _ends()
-    rows = bind(rows, {"_t": p.chord_middle(a, b, covi(), F.col("_iso"))}).where(F.col("_t").isNotNull())
-    return _best(edges, rows.select("eid", "gid", density(point_at(a, b, F.col("_t")), covi(), F.col("opacity").cast("double")).alias("density")))
+    a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
+    rows = bind(_quadratic(rows).where(p.solid_hit(a, b, c)), {"_t": p.chord_middle(a, b, c)})
+    return _best(edges, _scored(rows, add(vec(*_FROM), scale(vec(*_ALONG), F.col("_t")))))
 
 
 def planar_edge_best(edges: DataFrame, gaussians: DataFrame, iso: float | str | Column = 11.345) -> DataFrame:
@@ -71,6 +83,6 @@ def planar_edge_best(edges: DataFrame, gaussians: DataFrame, iso: float | str |
     rows = _candidates(edges, gaussians, [*MEAN, *NORMAL, *COVI, "opacity"], iso_of(iso))
     start, mean, normal = vec(*EDGE[0]), vec(*MEAN), vec(*NORMAL)
     d = sub(vec(*EDGE[1]), start)
-    rows = bind(rows, {"_t": p.disc_parameter(start, d, mean, normal, covi(), F.col("_iso"))}).where(F.col("_t").isNotNull())
-    at = sub(point_at(start, vec(*EDGE[1]), F.col("_t")), mean)
-    return _best(edges, rows.select("eid", "gid", density(at, covi(), F.col("opacity").cast("double")).alias("density")))
+    rows = bind(rows, {"_p": p.plane_parameter(start, d, mean, normal)})
+    rows = bind(rows, {"_t": p.on_disc(F.col("_p"), start, d, mean, covi(), F.col("_iso"))}).where("_t >= 0")
+    return _best(edges, _scored(rows, sub(point_at(start, vec(*EDGE[1]), F.col("_t")), mean)))

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..lineage import running
 from ..schema import EDGE, VOXEL, require
 
 
@@ -39,16 +39,8 @@ def box_edges(voxels: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """*df*, whose rows are distinct in *keys*, with their rank from 0 in the order of *keys*.
-
-    The rank is that among rows of one value of the first key, plus the rows of lesser values: only the counts by value meet in one task.
-    """
-    first = keys[0]
-    within = Window.partitionBy(first).orderBy(*keys[1:])
-    along = Window.partitionBy(F.lit(0)).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(F.col(first).alias("_first")).count().select("_first", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("_before"))
-    rows = df.withColumn("_n", F.row_number().over(within)).join(counts, F.col(first) == F.col("_first"))
-    return rows.withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("bigint")).drop("_n", "_first", "_before")
+    """*df*, whose rows are distinct in *keys*, with their rank from 0 in the order of *keys*: a running count, in two levels."""
+    return running(df, [F.col(k) for k in keys], {name: F.lit(1)})
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 In a round, points lie in cells of one size, and each open query looks at its cell and the 26 around it. Its k nearest there are
 final if the k-th is nearer than the border of that block, beyond which no seen point lies (sides beyond the points' bounding box
-don't count). The rest go on with twice the cell size, until a block covers all points. Queries outside the box look from the nearest cell in it. Dense
-regions are settled while cells are small, so cell populations stay near k.
+don't count). The rest go on with twice the cell size, until a block covers all points. Queries outside the box look from the nearest cell in it.
+
+The first size is the one that holds a few points a cell if they were spread evenly, or, where points are clustered, the largest of smaller ones whose cells are that thinly
+filled for the average point. So dense regions are settled while cells are small, and only the queries of sparse ones go on.
 """
 
 from __future__ import annotations
@@ -19,6 +21,19 @@ from ..lineage import cut
 from ..schema import require
 
 _AXES = ("x", "y", "z")
+#: Sizes that are tried first: each a quarter of the one before.
+_TRIED = 8
+#: A cell may hold so many times the points needed, for the average point.
+FILL = 16
+
+
+def start_size(points: DataFrame, low: list[float], size: float, need: int) -> float:
+    """The largest of *size* and smaller ones for which the average point shares its cell with ``FILL * need`` points or fewer."""
+    at = lambda a, i: F.floor((F.col(a) - low[i]) / (size * F.pow(F.lit(0.25), F.col("n"))))
+    tried = points.select(*_AXES, F.explode(F.sequence(F.lit(0), F.lit(_TRIED - 1))).alias("n")).select("n", *(at(a, i).alias(f"c{a}") for i, a in enumerate(_AXES)))
+    shared = tried.groupBy("n", *(f"c{a}" for a in _AXES)).agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("n").agg((F.sum(F.col("m") * F.col("m")) / F.sum("m")).alias("shared")).collect()  # a row a size
+    thin = [r["n"] for r in shared if r["shared"] <= FILL * need]
+    return size * 0.25 ** min(thin, default=_TRIED - 1)
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int = 1, exclude_self: bool = False, exclude_same_id: bool = False) -> DataFrame:
@@ -50,6 +65,8 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int = 1, exclude_self: bo
     wide = [max(s, longest / max(1, stats["n"])) for s in sides]
     size = (math.prod(wide) * need / stats["n"]) ** (1 / 3) / 2 if longest > 0 else 1.0
     size = max(size, longest / (1 << 20)) or 1.0
+    if size < longest:
+        size = max(start_size(points, low, size, need), longest / (1 << 40))
     open_, done = queries, None
     best = Window.partitionBy("qid").orderBy("dist_sq", "pid")
     while True:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import overlap_box
+from ..lineage import cut
 from ..schema import BOX, VOXEL, box
 
 
@@ -15,6 +16,13 @@ def hit_mask(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return rows.select(key).join(seen, F.col(key) == F.col("_key"), "left").select(key, F.col("_key").isNotNull().alias("hit"))
 
 
+def matches(rows: DataFrame, pairs: DataFrame, key: str, max_pairs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mask of *rows* and the list of *pairs*, from one pass: pairs are computed once and kept. The list has the first *max_pairs* in the order of *key* and gid; the mask knows all."""
+    kept = cut(pairs)
+    listed = kept if max_pairs is None else kept.orderBy(key, "gid").limit(max_pairs)
+    return hit_mask(rows, kept, key), listed
+
+
 def hits(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return rows.join(pairs.select(key).distinct(), key, "left_semi")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
-from ..functions.gaussian import density
-from ..functions.vec3 import Vec3, finite, sub, vec
+from ..functions.gaussian import density_of, power
+from ..functions.vec3 import finite, present, sub, vec
 from ..lineage import bind
 from ..schema import BOX, CONTACT, COVI, MEAN, NORMAL, VOXEL, box, covi, iso_of, require
 from .broadphase import overlap_join
@@ -21,8 +23,9 @@ def _candidates(voxels: DataFrame, gaussians: DataFrame, used: list[str]) -> Dat
     require(voxels, "vid", *sum(VOXEL, ()))
     require(gaussians, "gid", *used)
     numbers = [c for c in used if c != "gid"]
-    gaussians = gaussians.where(finite(*(F.col(c).cast("double") for c in numbers))).select("gid", *used)
-    return overlap_join(gaussians, BOX, voxels.select("vid", *sum(VOXEL, ())), VOXEL)
+    # Filters that say so let Spark leave the handling of nulls out of all that follows.
+    gaussians = gaussians.where(present(*numbers) & finite(*(F.col(c).cast("double") for c in numbers))).select("gid", *used)
+    return overlap_join(gaussians, BOX, voxels.select("vid", *sum(VOXEL, ())).where(present(*sum(VOXEL, ()))), VOXEL)
 
 
 def voxel_pairs(
@@ -43,15 +46,20 @@ def voxel_pairs(
     rows = _candidates(voxels, gaussians, need)
     voxel, own, mean, level = box(VOXEL), box(BOX), vec(*MEAN), iso_of(iso)
     size = F.col("vx1").cast("double") - F.col("vx0").cast("double")
-    at = sub(voxel[0], mean)
     ratio, depth = p.overlap_ratios(p.overlap_box(own, voxel), size)
-    thick = (ratio >= ar_threshold) & (depth >= p_threshold)
-    meets = p.box_inside(own, voxel) | p.face_pierced(at, size, tuple(vec(*c) for c in CONTACT)) | p.cube_edge_hits(at, size, covi(), level)
-    rows = bind(rows, {"_meets": F.when(thick, meets).otherwise(False)}).where("_meets")
-    out = [F.col("vid"), F.col("gid")]
+    # The cheap test is part of the join; what is left is bound step by step.
+    rows = rows.where((ratio >= ar_threshold) & (depth >= p_threshold))
+    rows = rows.withColumns({"_size": size} | dict(zip(("_ax", "_ay", "_az"), sub(voxel[0], mean), strict=True)))
+    at, size, contacts = vec("_ax", "_ay", "_az"), F.col("_size"), tuple(vec(*c) for c in CONTACT)
+    rows = rows.withColumns(p.face_parameters(at, size, contacts) | p.cube_terms(at, size, covi(), level))
+    rows = rows.withColumns({"_in": p.box_inside(own, voxel) | p.face_pierced(at, size, contacts)} | p.cube_slopes(at, size))
+    rows = bind(rows, {"_meets": F.col("_in") | p.any_of(p.cube_edge_hits(size))}).where("_meets")
+    out = ["vid", "gid"]
     if centroids:
         c = p.middle(p.overlap_box(own, voxel))
-        out += [c.x.alias("cx"), c.y.alias("cy"), c.z.alias("cz"), density(sub(c, mean), covi(), F.col("opacity").cast("double")).alias("density")]
+        rows = rows.withColumns({"cx": c.x, "cy": c.y, "cz": c.z})
+        rows = rows.withColumn("_power", power(sub(vec("cx", "cy", "cz"), mean), covi()))
+        out += ["cx", "cy", "cz", density_of(F.col("_power"), F.col("opacity").cast("double")).alias("density")]
     return _limited(rows.select(*out), max_pairs)
 
 
@@ -68,22 +76,21 @@ def planar_voxel_pairs(voxels: DataFrame, gaussians: DataFrame, iso: float | str
     rows = _candidates(voxels, gaussians, need)
     voxel, mean, normal, level = box(VOXEL), vec(*MEAN), vec(*NORMAL), iso_of(iso)
     size = F.col("vx1").cast("double") - F.col("vx0").cast("double")
-    slots = [F.struct(s.x.alias("x"), s.y.alias("y"), s.z.alias("z"), *(v.alias(n) for n, v in zip("uvw", p.along(axis, size), strict=True))) for s, axis in p.cube_edges(voxel[0], size)]
-
-    def met(e: Column) -> Column:
-        t = p.disc_parameter(Vec3(e["x"], e["y"], e["z"]), Vec3(e["u"], e["v"], e["w"]), mean, normal, covi(), level)
-        return F.transform(F.array(t), lambda t: F.when(t.isNotNull(), F.struct((e["x"] + t * e["u"]).alias("x"), (e["y"] + t * e["v"]).alias("y"), (e["z"] + t * e["w"]).alias("z"))))[0]
-
-    points = F.filter(F.transform(F.array(*slots), met), lambda q: q.isNotNull())
-    rows = bind(rows, {"_points": F.when(p.corners_on_both_sides(voxel, mean, normal), points)})
-    rows = rows.where(F.size("_points") > 0)
-    out = [F.col("vid"), F.col("gid")]
+    edges = [(start, p.along(axis, size)) for start, axis in p.cube_edges(voxel[0], size)]
+    rows = rows.where(p.corners_on_both_sides(voxel, mean, normal))
+    rows = rows.withColumns({f"_p{i}": p.plane_parameter(start, d, mean, normal) for i, (start, d) in enumerate(edges)})
+    rows = bind(rows, {f"_t{i}": p.on_disc(F.col(f"_p{i}"), start, d, mean, covi(), level) for i, (start, d) in enumerate(edges)})
+    met = [F.col(f"_t{i}") >= 0 for i in range(len(edges))]
+    rows = rows.where(p.any_of(met))
+    out = ["vid", "gid"]
     if not centroids:
         return _limited(rows.select(*out), max_pairs)
-    mean_of = lambda a: F.aggregate("_points", F.lit(0.0), lambda s, q: s + q[a]) / F.size("_points")
-    total = {a: mean_of(a) for a in "xyz"}
-    rows = bind(rows, {f"c{a}": c for a, c in total.items()})
-    out += [F.col("cx"), F.col("cy"), F.col("cz")]
+    count = reduce(lambda a, b: a + b, (m.cast("int") for m in met))
+    for a in range(3):
+        sums = (F.when(m, start[a] + F.col(f"_t{i}") * d[a]).otherwise(0.0) for i, (m, (start, d)) in enumerate(zip(met, edges, strict=True)))
+        rows = rows.withColumn(f"c{'xyz'[a]}", reduce(lambda x, y: x + y, sums, F.lit(0.0)) / count)
+    out += ["cx", "cy", "cz"]
     if densities:
-        out.append(density(sub(vec("cx", "cy", "cz"), mean), covi(), F.lit(1.0)).alias("density"))
+        rows = rows.withColumn("_power", power(sub(vec("cx", "cy", "cz"), mean), covi()))
+        out.append(density_of(F.col("_power"), F.lit(1.0)).alias("density"))
     return _limited(rows.select(*out), max_pairs)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bounds, edges, grids, knn, masks, voxels
+from ..functions import vec3
+from ..operators import bounds, drawing, edges, grids, knn, masks, voxels
 from ..schema import BOX, CONTACT, COVI, EDGE, VOXEL
 from ..sources import scenes
 from . import sql
@@ -17,6 +18,8 @@ _BOX = [*BOX[0], *BOX[1]]
 _CORNERS = [*VOXEL[0], *VOXEL[1]]
 _ENDS = [*EDGE[0], *EDGE[1]]
 K = 8
+#: How many pairs the queries with a limit keep.
+FIRST = 1000
 
 
 def _boxes(**kw) -> Query:
@@ -55,6 +58,41 @@ def _mapping(spark: SparkSession, d: str) -> DataFrame:
     return grids.edge_mapping(rows, grids.unique_edges(rows))
 
 
+def _by_iso(spark: SparkSession, d: str) -> DataFrame:
+    return bounds.gaussian_bounds(scenes.gaussians_raw(spark, d), scenes.LEVEL, "iso", rotnorm=True)
+
+
+def _places(*names: str, places: int = 6) -> list[Column]:
+    """To so many places, without a negative zero."""
+    return [(F.round(n, places) + F.lit(0.0)).alias(n) for n in names]
+
+
+def _match(spark: SparkSession, d: str) -> DataFrame:
+    """The mask of all voxels and the length of their lists, of which only the first pairs are kept."""
+    grid = scenes.voxels(spark)
+    mask, listed = masks.matches(grid, _voxel_pairs(spark, d), "vid", FIRST)
+    counts = listed.groupBy(F.col("vid").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    return mask.join(counts, F.col("vid") == F.col("of"), "left").select("vid", "hit", F.coalesce("n", F.lit(0)).alias("n_listed"))
+
+
+def _surface(spark: SparkSession, d: str) -> DataFrame:
+    return drawing.surface_points(scenes.gaussians_raw(spark, d), scenes.LEVEL, rotnorm=True, around=8, down=5).select("gid", "i", "j", *_places("x", "y", "z"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Points against a line and a plane: foot on both, cross product, length, and the side of a line in the plane."""
+    at = lambda *v: vec3.Vec3(*(F.lit(float(x)) for x in v))
+    point, start, end = vec3.vec("x", "y", "z"), at(-1, 0.25, 0), at(1, 0.5, 0.5)
+    a, b = at(0, 0, 0.25), at(1, 0, 0.5)
+    normal, offset = vec3.plane_through(a, b, at(0, 1, 0.75))
+    foot = vec3.project_plane(point, normal, offset)
+    rows = scenes.points(spark, d).select(
+        "pid", vec3.project_edge(point, start, end).alias("t"), *(c.alias(n) for n, c in zip(("fx", "fy", "fz"), foot, strict=True)),
+        vec3.cross(point, vec3.sub(end, start)).x.alias("cross_x"), vec3.norm(point).alias("length"), vec3.normalize(point).x.alias("unit_x"), vec3.is_not_above(point, a, vec3.sub(b, a), normal).alias("not_above"),
+    )
+    return rows.select("pid", *_places("t", "fx", "fy", "fz", "cross_x", "length", "unit_x", places=9), "not_above")
+
+
 QUERIES: dict[str, Query] = {
     "gs_aabb": _boxes(),
     "gs_covi": lambda s, d: scenes.gaussians(s, d).select("gid", *COVI),
@@ -87,7 +125,19 @@ QUERIES: dict[str, Query] = {
     "pgs_edge_best": lambda s, d: edges.planar_edge_best(scenes.edges(s), scenes.gaussians(s, d)),
     "knn": lambda s, d: knn.knn_join(scenes.points(s, d), scenes.queries(s, d), K),
     "knn_exclude_self": lambda s, d: knn.knn_join(scenes.points(s, d), scenes.points(s, d).withColumnRenamed("pid", "qid"), 3, exclude_self=True),
-    "knn_embeddings": _embedded,
+    "knn_embeddings_xyz": _embedded,
+    "gs_edge_pairs_iso_col": lambda s, d: edges.edge_pairs(scenes.edges(s), _by_iso(s, d), "iso"),
+    "pgs_voxel_iso_col": lambda s, d: voxels.planar_voxel_pairs(scenes.voxels(s), _by_iso(s, d), "iso"),
+    "pgs_edge_best_iso_col": lambda s, d: edges.planar_edge_best(scenes.edges(s), _by_iso(s, d), "iso"),
+    "gs_voxel_pairs_first": lambda s, d: _voxel_pairs(s, d, max_pairs=FIRST),
+    "gs_edge_pairs_first": lambda s, d: edges.edge_pairs(scenes.edges(s), scenes.gaussians(s, d), max_pairs=FIRST),
+    "pgs_voxel_pairs_first": lambda s, d: _planar(s, d, max_pairs=FIRST),
+    "gs_voxel_match": _match,
+    "pgs_voxel_mask": lambda s, d: masks.hit_mask(scenes.voxels(s), _planar(s, d), "vid"),
+    "surface_points": _surface,
+    "box_wireframe": lambda s, d: drawing.box_wireframe(scenes.voxels(s)),
+    "edge_polylines": lambda s, d: drawing.polylines(scenes.edges(s)),
+    "vector_helpers": _vectors,
     "neighbor_split": lambda s, d: masks.neighbour_split(scenes.points(s, d), knn.knn_join(scenes.points(s, d), scenes.queries(s, d), K)),
 }
 
@@ -129,6 +179,18 @@ ORACLE_SQL: dict[str, str] = {
     "pgs_edge_best": sql.PLANAR_EDGE_BEST,
     "knn": sql.nearest(f"{sql.POINTS}, {sql.ASKED}", K),
     "knn_exclude_self": sql.nearest(f"{sql.POINTS}, ask AS (SELECT pid AS qid, x, y, z FROM pts)", 3, 1),
-    "knn_embeddings": sql.nearest(sql.EMBEDDED, 4),
+    "knn_embeddings_xyz": sql.nearest(sql.EMBEDDED, 4),
+    "gs_edge_pairs_iso_col": sql.EDGE_PAIRS.replace("11.345::DOUBLE AS lv", "iso AS lv"),
+    "pgs_voxel_iso_col": f"WITH {sql.planar_voxels(**_ISO)} SELECT vid, gid FROM pair",
+    "pgs_edge_best_iso_col": sql.PLANAR_EDGE_BEST.replace("11.345::DOUBLE AS lv", "iso AS lv"),
+    "gs_voxel_pairs_first": f"{_P} SELECT vid, gid FROM pair ORDER BY vid, gid LIMIT {FIRST}",
+    "gs_edge_pairs_first": f"{sql.EDGE_PAIRS} ORDER BY eid, gid LIMIT {FIRST}",
+    "pgs_voxel_pairs_first": f"WITH {sql.planar_voxels()} SELECT vid, gid FROM pair ORDER BY vid, gid LIMIT {FIRST}",
+    "gs_voxel_match": f"{_P}, listed AS (SELECT vid, gid FROM pair ORDER BY vid, gid LIMIT {FIRST}) SELECT vid, vid IN {_HIT} AS hit, (SELECT count(*) FROM listed l WHERE l.vid = vox.vid) AS n_listed FROM vox",
+    "pgs_voxel_mask": f"WITH {sql.planar_voxels()} SELECT vid, vid IN {_HIT} AS hit FROM vox",
+    "surface_points": sql.SURFACE,
+    "box_wireframe": sql.OUTLINE,
+    "edge_polylines": sql.POLYLINES,
+    "vector_helpers": sql.VECTORS,
     "neighbor_split": f"SELECT c_custkey AS pid, c_custkey IN (SELECT pid FROM ({sql.nearest(f'{sql.POINTS}, {sql.ASKED}', K)})) AS is_neighbor FROM customer",
 }

@@ -157,7 +157,7 @@ scored AS (SELECT eid, gid, {density(*_PAT)} AS density FROM (SELECT *, {_disc((
 {_BEST}"""
 
 
-def planar_voxels() -> str:
+def planar_voxels(**kw) -> str:
     """CTEs up to ``pair``: voxels that planar Gaussians cut, with the mean of the points where edges meet the disc."""
     corner = [f"((v{x} - mx) * nx + (v{y} - my) * ny + (v{z} - mz) * nz)" for z in ("z0", "z1") for y in ("y0", "y1") for x in ("x0", "x1")]
     ts, sums = [], {n: "0::DOUBLE" for n in "xyz"}
@@ -167,18 +167,42 @@ def planar_voxels() -> str:
         for n, a, b in zip("xyz", s, d, strict=True):
             sums[n] = f"({sums[n]} + CASE WHEN t{i} IS NOT NULL THEN {a} + t{i} * {b} ELSE 0 END)"
     count = " + ".join(f"(t{i} IS NOT NULL)::INT" for i in range(12))
-    return f"""{bounds()},
+    return f"""{bounds(**kw)},
 {VOXELS},
 near AS (SELECT *, vx1 - vx0 AS vs FROM vox JOIN gs ON {OVERLAP} WHERE greatest({", ".join(corner)}) > 0 AND least({", ".join(corner)}) <= 0),
 cuts AS (SELECT *, {count} AS n_met FROM (SELECT *, {", ".join(ts)} FROM near)),
 pair AS (SELECT *, {sums["x"]} / n_met AS cx, {sums["y"]} / n_met AS cy, {sums["z"]} / n_met AS cz FROM cuts WHERE n_met > 0)"""
 
 
+_FULL, _HALF = "6.283185307179586::DOUBLE", "3.141592653589793::DOUBLE"
+SURFACE = f"""WITH {bounds()},
+angled AS (SELECT *, sqrt(lv) AS r, i * ({_FULL} / 7) AS u, j * ({_HALF} / 4) AS v FROM con, range(8) a(i), range(5) b(j)),
+local AS (SELECT *, r * tx * cos(u) * sin(v) AS lx, r * ty * sin(u) * sin(v) AS ly, r * tz * cos(v) AS lz FROM angled)
+SELECT gid, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+  round(mx + (1 - 2 * (y * y + z * z)) * lx + 2 * (x * y - w * z) * ly + 2 * (x * z + w * y) * lz, 6) + 0 AS x,
+  round(my + 2 * (x * y + w * z) * lx + (1 - 2 * (x * x + z * z)) * ly + 2 * (y * z - w * x) * lz, 6) + 0 AS y,
+  round(mz + 2 * (x * z - w * y) * lx + 2 * (y * z + w * x) * ly + (1 - 2 * (x * x + y * y)) * lz, 6) + 0 AS z FROM local"""
+OUTLINE = f"""WITH {VOXELS},
+corner(c, x, y, z) AS (VALUES (0, 0, 0, 0), (1, 1, 0, 0), (2, 1, 1, 0), (3, 0, 1, 0), (4, 0, 0, 1), (5, 1, 0, 1), (6, 1, 1, 1), (7, 0, 1, 1)),
+path AS (SELECT unnest([0, 1, 2, 3, 0, NULL, 4, 5, 6, 7, 4, NULL, 0, 4, NULL, 1, 5, NULL, 2, 6, NULL, 3, 7, NULL]) AS c, CAST(unnest(range(24)) AS INTEGER) AS step)
+SELECT vid, step, CASE x WHEN 0 THEN vx0 WHEN 1 THEN vx1 END AS x, CASE y WHEN 0 THEN vy0 WHEN 1 THEN vy1 END AS y, CASE z WHEN 0 THEN vz0 WHEN 1 THEN vz1 END AS z
+FROM vox, path LEFT JOIN corner USING (c)"""
+POLYLINES = f"""WITH {EDGES}
+SELECT eid, 0 AS step, ax AS x, ay AS y, az AS z FROM edge UNION ALL SELECT eid, 1, bx, by_, bz FROM edge UNION ALL SELECT eid, 2, NULL, NULL, NULL FROM edge"""
+
 POINTS = "pts AS (SELECT c_custkey AS pid, CAST((c_custkey * 7919) % 2003 AS DOUBLE) / 1000.0::DOUBLE - 1 AS x, c_acctbal / 10000.0::DOUBLE AS y, CAST(c_nationkey AS DOUBLE) / 25.0::DOUBLE AS z FROM customer)"
 ASKED = "ask AS (SELECT s_suppkey AS qid, CAST((s_suppkey * 104729) % 2003 AS DOUBLE) / 1000.0::DOUBLE - 1 AS x, s_acctbal / 10000.0::DOUBLE AS y, CAST(s_nationkey AS DOUBLE) / 25.0::DOUBLE AS z FROM supplier)"
 EMBEDDED = "pts AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), ask AS (SELECT pid AS qid, x, y, z FROM pts)"
 
 
+# The line from (-1, 0.25, 0) to (1, 0.5, 0.5), and the plane through (0, 0, 0.25), (1, 0, 0.5) and (0, 1, 0.75), whose normal is (-0.25, -0.5, 1).
+VECTORS = f"""WITH {POINTS},
+t AS (SELECT *, ((x + 1) * 2 + (y - 0.25::DOUBLE) * 0.25::DOUBLE + z * 0.5::DOUBLE) / 4.3125::DOUBLE AS t, (-0.25::DOUBLE * x - 0.5::DOUBLE * y + z - 0.25::DOUBLE) / 1.3125::DOUBLE AS h, sqrt(x * x + y * y + z * z) AS n FROM pts),
+foot AS (SELECT *, x + 0.25::DOUBLE * h AS fx, y + 0.5::DOUBLE * h AS fy, z - h AS fz FROM t)
+SELECT pid, round(t, 9) + 0 AS t, round(fx, 9) + 0 AS fx, round(fy, 9) + 0 AS fy, round(fz, 9) + 0 AS fz, round(y * 0.5::DOUBLE - z * 0.25::DOUBLE, 9) + 0 AS cross_x, round(n, 9) AS length, round(x / n, 9) + 0 AS unit_x,
+  x * -0.125::DOUBLE + y * 1.0625::DOUBLE + (z - 0.25::DOUBLE) * 0.5::DOUBLE <= 0 AS not_above FROM foot"""
+
+
 def nearest(tables: str, k: int, skip: int = 0) -> str:
     return f"""WITH {tables},
 d AS (SELECT qid, pid, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS dist_sq FROM ask q, pts p),

@@ -214,9 +214,9 @@ def test_vectors(spark):
     normal, offset = vec3.plane_through(a, b, c)
     foot = vec3.project_plane(vec3.add(a, normal), normal, offset)
     got = row.select(
-        vec3.project_edge(vec3.point_at(a, b, 0.25), a, b), vec3.project_edge(a, a, a), vec3.norm(vec3.sub(foot, a)), vec3.is_not_above(b, normal, offset - 1e-9), vec3.normalize(zero).x, vec3.norm(vec3.normalize(b)), vec3.dot(vec3.cross(a, b), a)
+        vec3.project_edge(vec3.point_at(a, b, 0.25), a, b), vec3.project_edge(a, a, a), vec3.norm(vec3.sub(foot, a)), vec3.is_not_above(c, a, vec3.sub(b, a), normal), vec3.normalize(zero).x, vec3.norm(vec3.normalize(b)), vec3.dot(vec3.cross(a, b), a)
     ).first()
-    assert got[0] == pytest.approx(0.25) and got[1] is None and got[2] == pytest.approx(0, abs=1e-12) and got[3] and got[4] is None and got[5] == pytest.approx(1) and got[6] == pytest.approx(0)
+    assert got[0] == pytest.approx(0.25) and got[1] is None and got[2] == pytest.approx(0, abs=1e-12) and not got[3] and got[4] is None and got[5] == pytest.approx(1) and got[6] == pytest.approx(0)
 
 
 def test_touching_boxes_and_thin_gaussians(spark):
@@ -247,3 +247,66 @@ def test_stream_of_segments(spark, tmp_path):
     run = query.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination()
     assert set(seen) == {0, 2, 7}
+
+
+def test_above_an_edge_within_its_plane(spark):
+    x, z = (vec3.Vec3(*(F.lit(float(v)) for v in p)) for p in ((2, 0, 0), (0, 0, 3)))
+    start = vec3.Vec3(*(F.lit(float(v)) for v in (1, 1, 5)))
+    rows = spark.createDataFrame([(0.0, 0.5), (9.0, 1.0), (-4.0, 1.5)], "x double, y double")
+    got = rows.select(vec3.is_not_above(vec3.Vec3(F.col("x"), F.col("y"), F.lit(5.0)), start, x, z)).collect()
+    assert [r[0] for r in got] == [True, True, False]
+
+
+def test_few_candidates_for_each_overlap(spark):
+    rng = np.random.default_rng(2)
+    mid, half = rng.uniform(-1, 1, (600, 3)), rng.uniform(0.01, 0.35, (600, 1))
+    rows = np.hstack([mid - half, mid + half])
+    a = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "gid bigint, " + ", ".join(f"{c} double" for c in sum(schema.BOX, ())))
+    v = grids.voxel_grid(spark, 16)
+    met = broadphase.candidates(a, schema.BOX, v, schema.VOXEL).count()
+    assert met < 2 * broadphase.overlap_join(a, schema.BOX, v, schema.VOXEL).count() < 600 * 4096 / 20
+
+
+def test_dense_ids_whatever_the_first_key(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b)) for a, b in {(int(x > 40) * 7, int(x)) for x in rng.integers(0, 2000, 1500)}]
+    got = grids.dense_ids(spark.createDataFrame(rows, "a double, b double").repartition(5), "id", ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.id)] == sorted(rows) and sorted(r.id for r in got) == list(range(len(rows)))
+
+
+def test_knn_starts_small_where_points_are_clustered(spark):
+    rng = np.random.default_rng(11)
+    pts = np.vstack([rng.normal(0, 1e-3, (3000, 3)), rng.uniform(-50, 50, (300, 3))])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "pid bigint, x double, y double, z double").cache()
+    low = pts.min(0).tolist()
+    even = (100.0**3 * 4 / 3300) ** (1 / 3) / 2
+    size = knn.start_size(points, low, even, 4)
+    fill = lambda s: sum(n * n for n in np.unique(np.floor((pts - low) / s), axis=0, return_counts=True)[1].tolist()) / len(pts)
+    assert fill(even) > 1000 and fill(size) <= knn.FILL * 4 and size < even / 100
+    asks = [(i, *map(float, p)) for i, p in enumerate(pts[::300])]
+    got = sorted((r.qid, r["rank"], r.pid) for r in knn.knn_join(points, spark.createDataFrame(asks, "qid bigint, x double, y double, z double"), 3).collect())
+    assert got == sorted(w[:3] for w in nearest([(i, *map(float, p)) for i, p in enumerate(pts)], asks, 3))
+
+
+def test_drawn_rows(spark, scene):
+    from splatframe.operators import drawing
+
+    raw = spark.createDataFrame([(0, 0.5, 0.5, 0.5, 0.5, 0.2, 0.7, 0.3, 0.1, 0.6, 0.5, 0.5, 0.5, -1.5, 2.0)], RAW)
+    rows = drawing.surface_points(raw, 8, rotnorm=True).collect()
+    assert len(rows) == 2500
+    box = scene[0].first()
+    for a in "xyz":
+        values = [r[a] for r in rows]
+        assert box[f"g{a}0"] - 1e-9 <= min(values) < box[f"g{a}0"] + 0.05 and box[f"g{a}1"] - 0.05 < max(values) <= box[f"g{a}1"] + 1e-9
+    path = drawing.box_wireframe(scene[1].where("vid = 5")).orderBy("step").collect()
+    assert len(path) == 24 and sum(r.x is None for r in path) == 6
+    drawn = {frozenset([(a.x, a.y, a.z), (b.x, b.y, b.z)]) for a, b in zip(path, path[1:], strict=False) if a.x is not None and b.x is not None}
+    assert drawn == {frozenset([(r.ax, r.ay, r.az), (r.bx, r["by"], r.bz)]) for r in grids.box_edges(scene[1].where("vid = 5")).collect()}
+    edges_ = grids.box_edges(scene[1].where("vid = 5")).selectExpr("CAST(slot AS bigint) AS eid", "ax", "ay", "az", "bx", "by", "bz")
+    assert drawing.polylines(edges_).where("step = 2 and x is null").count() == 12
+
+
+def test_mask_and_list_from_one_pass(scene):
+    g, v = scene
+    mask, listed = masks.matches(v, voxels.voxel_pairs(v, g), "vid", 3)
+    assert mask.where("hit").count() == 111 and sorted(r.vid for r in listed.collect()) == [147, 148, 149]
