@@ -1,18 +1,18 @@
-"""What the operators of this subpackage share: the shared folder, cut lineage, sums along an order, Arrow plumbing."""
+"""What the operators of this subpackage share: folders for their files, rows with any names, Arrow plumbing; and the library's own lineage functions."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
-from pyspark.sql.window import Window
+
+from ..lineage import cut, quoted, running, shared_folder
+
+__all__ = ["GAP", "WORD", "by_chunk", "cut", "new_folder", "numbered", "quoted", "read_table", "remove_folder", "running", "shared_folder", "stored", "whole_row", "with_field"]
 
 #: A word: a run of bytes that are neither space nor tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,33 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]*"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder is made, set as the checkpoint folder, and removed when Python ends; that is for tests
-    on one machine, so it raises an error unless the master is local.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-        return folder.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="splatframe-")
-        atexit.register(shutil.rmtree, made, True)
-        sc.setCheckpointDir(f"file://{made}")
-    return sc.getCheckpointDir().rsplit("/", 1)[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, without their lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a folder, not made yet, for files that executors write for each other."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -74,10 +47,6 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(quoted(c)) for c in df.columns))
 
 
-def quoted(name: str) -> str:
-    return f"`{name.replace('`', '``')}`"
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """*df* with its columns named c0, c1, and so on, for functions that can't take all names; ``toDF`` names them again."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
@@ -88,26 +57,6 @@ def with_field(df: DataFrame, name: str, kind) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
 
-def running(rows: DataFrame, order: Sequence[Column], amounts: dict[str, Column]) -> DataFrame:
-    """*rows* with, for each name in *amounts*, the sum of that integer amount over all rows before in *order*.
-
-    In two levels, so that no task holds all rows: *rows* are dealt into ranges of *order*, summed by range, and the ranges' sums (a row each,
-    as many as shuffle partitions) are added up. Rows that are equal in *order* share a range, so it should end with a column that tells them apart.
-    """
-    named = {n: f"_run_{k}" for k, n in enumerate(amounts)}
-    keys = {f"_run_by_{k}": c for k, c in enumerate(order)}
-    by = [F.col(k).asc_nulls_first() for k in keys]
-    ranged = rows.select("*", *(c.alias(k) for k, c in keys.items()), *(c.cast("bigint").alias(named[n]) for n, c in amounts.items()))
-    ranged = cut(ranged.repartitionByRange(*by).withColumn("_run_part", F.spark_partition_id()))
-    per = ranged.groupBy(F.col("_run_part").alias("_run_of")).agg(*(F.sum(named[n]).alias(f"{named[n]}_all") for n in amounts))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_run_of").rowsBetween(Window.unboundedPreceding, -1)
-    first = per.select("_run_of", *(F.coalesce(F.sum(f"{named[n]}_all").over(earlier), F.lit(0)).alias(f"{named[n]}_first") for n in amounts))
-    inside = Window.partitionBy("_run_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumns({f"{named[n]}_in": F.coalesce(F.sum(named[n]).over(inside), F.lit(0)) for n in amounts})
-    out = out.join(F.broadcast(first), F.col("_run_part") == F.col("_run_of"))  # a row for each range
-    return out.select(*(F.col(quoted(c)) for c in rows.columns if c not in amounts), *((F.col(f"{named[n]}_first") + F.col(f"{named[n]}_in")).alias(n) for n in amounts))
-
-
 def by_chunk(
     make: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -3,8 +3,12 @@
 import random
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-#: Columns whose names operators might use themselves.
-EXTRA = ", size bigint, fp bigint, shard int, score double, target double, bucket int, start bigint, length bigint, rank int, verdict string"
+#: Columns whose names operators use themselves, or might.
+NAMES = (
+    *("size", "fp", "shard", "score", "target", "bucket", "start", "length", "rank", "verdict", "slot", "said", "judged", "rid", "row", "hash", "mark", "first", "group", "window", "offset"),
+    *("own", "salt", "of", "pieces", "position", "words", "component", "root", "url", "head", "made", "c0", "_id", "_size", "_taken", "_words", "_part", "_fp", "_row_fp", "_mark", "_bucket", "_run_0", "a`b"),
+)
+EXTRA = "".join(f", `{n.replace('`', '``')}` bigint" for n in NAMES)
 
 
 def words(rng: random.Random, n: int, kinds: int = 400) -> str:
@@ -25,7 +29,7 @@ def documents(spark, n: int = 60, extra: bool = True):
         (n + 7, "a  b\r\n\x0bc\u00a0d \x1c e <|endoftext|>\n\nthe\u0301 it's  Ünïcode 漢字 😀 123", "xx", "src3", 1),
     ]
     rows += [rows[7], rows[7], (None, "no id here at all", "en", "src0", 1), (None, None, None, None, None)]
-    rows = [(*r, *[None] * 10) if extra else r for r in rows]
+    rows = [(*r, *[None] * len(NAMES)) if extra else r for r in rows]
     return spark.createDataFrame(rows, SCHEMA + (EXTRA if extra else ""))
 
 
