@@ -11,7 +11,7 @@ rates; on the others the sample has no evidence, and their weight is 0.
 
 The fit uses at most ``max_train_docs`` labelled documents, those with the
 least seeded hashes (4,000 by default), as far as they have ``max_train_words`` words (4 million by default) together: documented, fixed bounds, so what the driver holds
-doesn't grow. Executors cut their texts into sentences and words; the driver gets these, each word once a sentence. Every document is scored, over its whole text, in one pass without a shuffle; the model that is broadcast
+doesn't grow. Executors cut their texts into sentences and words; the driver gets these as numbers of words and one list of different words. Every document is scored, over its whole text, in one pass without a shuffle; the model that is broadcast
 has one weight for a feature of the sample at most.
 
 Defined results: a null, empty or wordless text has no sentence and scores 0. Repeated rows score alike.
@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,22 +94,43 @@ def _softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
-def telling_features(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
-    """The features whose rates in toxic documents and in the others differ."""
-    toxic, other = Counter(), Counter()
-    known: dict[str, set[str]] = {}
-    for words, label in zip(docs, y, strict=True):
-        (toxic if label else other).update(set().union(*(known.get(w) or known.setdefault(w, features(w)) for s in words for w in s)))
-    n, m = float(y.sum()), float((1 - y).sum())
-    found = []
-    for f in toxic.keys() | other.keys():
-        a, b = toxic[f], other[f]
-        if a + b >= LEAST_DOCS:
-            p = (a + b) / (n + m)
-            z = (a / n - b / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-            if abs(z) > LEAST_Z:
-                found.append(f)
-    return sorted(found)
+@dataclass
+class Words:
+    """The words of labelled documents: of each place its word (a number in *vocabulary*) and its sentence, and of each sentence its document. All in order."""
+
+    vocabulary: list[str]
+    word: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``start`` to ``start + count - 1`` of each pair, one after another."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def telling_features(words: Words, y: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The features whose rates in toxic documents and in the others differ, in order; and pairs of a word and a place in that list."""
+    made = [[xxhash.xxh64_intdigest(f) for f in features(w)] for w in words.vocabulary]
+    counts = np.array([len(f) for f in made], np.int64)
+    ids, feature = np.unique(np.array([f for fs in made for f in fs], np.uint64), return_inverse=True)
+    del made
+    starts, n = np.cumsum(counts) - counts, len(ids)
+    both = np.unique(words.doc[words.sentence] * len(counts) + words.word)
+    doc, word = np.divmod(both, len(counts))
+    toxic, all_ = np.zeros(n), np.zeros(n)
+    edges = np.searchsorted(doc, np.arange(0, len(y) + 256, 256))  # some documents at a time
+    for a, b in zip(edges, edges[1:], strict=False):
+        met = np.unique(np.repeat(doc[a:b], counts[word[a:b]]) * n + feature[_spread(starts[word[a:b]], counts[word[a:b]])])
+        toxic += np.bincount(met % n, y[met // n], minlength=n)
+        all_ += np.bincount(met % n, minlength=n)
+    of_toxic, of_other, p = toxic / y.sum(), (all_ - toxic) / (1 - y).sum(), all_ / len(y)
+    z = (of_toxic - of_other) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (1 - y).sum()) + 1e-12)
+    told = set(ids[(all_ >= LEAST_DOCS) & (np.abs(z) > LEAST_Z)].tolist())
+    pairs = [(i, f) for i, w in enumerate(words.vocabulary) for f in sorted(features(w)) if xxhash.xxh64_intdigest(f) in told]
+    names = sorted({f for _, f in pairs})
+    number = {f: i for i, f in enumerate(names)}
+    return names, np.array([i for i, _ in pairs], np.int64), np.array([number[f] for _, f in pairs], np.int64)
 
 
 def loss_and_gradient(x: np.ndarray, y: np.ndarray, sentence: np.ndarray, place: np.ndarray, doc: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
@@ -127,30 +148,28 @@ def loss_and_gradient(x: np.ndarray, y: np.ndarray, sentence: np.ndarray, place:
     return float(-(y * np.log(hit) + (1 - y) * missed).mean() + decay / 2 * (w @ w)), g
 
 
-def fit(docs: list[list[list[str]]], labels: np.ndarray, epochs: int = 1000, rate: float = 0.1, decay: float = 1e-4, least: float = 1e-5) -> Model:
-    """Full-batch Adam on the noisy-or's log loss, until no derivative is over *least* (*epochs* steps at most). *docs*: for each document its sentences' words."""
-    kept = [i for i, d in enumerate(docs) if d]
-    y = np.asarray(labels, np.float64)[kept]
-    docs = [docs[i] for i in kept]
+def fit(docs: list[list[list[str]]], labels: np.ndarray, **how) -> Model:
+    """``fit_words`` for documents given as their sentences' words."""
+    number: dict[str, int] = {}
+    sentences_ = [s for d in docs for s in d]
+    word = np.array([number.setdefault(w, len(number)) for s in sentences_ for w in s], np.int64)
+    sentence = np.repeat(np.arange(len(sentences_)), [len(s) for s in sentences_])
+    return fit_words(Words(list(number), word, sentence, np.repeat(np.arange(len(docs)), [len(d) for d in docs])), labels, **how)
+
+
+def fit_words(words: Words, labels: np.ndarray, epochs: int = 1000, rate: float = 0.1, decay: float = 1e-4, least: float = 1e-5) -> Model:
+    """Full-batch Adam on the noisy-or's log loss, until no derivative is over *least* (*epochs* steps at most). Documents without a sentence don't count."""
+    present, doc_of = np.unique(words.doc, return_inverse=True)
+    y = np.asarray(labels, np.float64)[present]
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-4), 1 - 1e-4)
         return Model({}, leak=math.log(p / (1 - p)))
-    names = telling_features(docs, y)
-    number = {f: i for i, f in enumerate(names)}
-    numbers: dict[str, list[int]] = {}  # of a word's features
-    sentence, place, doc = [], [], []  # doc: of each sentence with a feature
-    for i, words in enumerate(docs):
-        for s in words:
-            found = []
-            for w in s:
-                if w not in numbers:
-                    numbers[w] = sorted(number[f] for f in features(w) if f in number)
-                found.extend(numbers[w])
-            if found:
-                sentence.extend([len(doc)] * len(found))
-                place.extend(found)
-                doc.append(i)
-    sentence, place, doc = (np.array(x, np.int64) for x in (sentence, place, doc))
+    names, owner, number = telling_features(Words(words.vocabulary, words.word, words.sentence, doc_of), y)
+    counts = np.bincount(owner, minlength=len(words.vocabulary))
+    met = counts[words.word]
+    sentence, place = np.repeat(words.sentence, met), number[_spread((np.cumsum(counts) - counts)[words.word], met)]
+    with_, sentence = np.unique(sentence, return_inverse=True)  # sentences with a feature
+    doc = doc_of[with_]
     k, mean = len(names), float(y.mean())
     x = np.concatenate([np.zeros(k), [-4.0, math.log(mean / (1 - mean))]])  # weights, bias, leak
     m, v = np.zeros(k + 2), np.zeros(k + 2)
@@ -182,15 +201,22 @@ def train(
     chosen = documents.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = [[sorted(set(s)) for _, _, s in sentences(text or "")] for text in batch.column("text").to_pylist()]
+        bags = [[s for _, _, s in sentences(text or "")] for text in batch.column("text").to_pylist()]
         sizes = pa.array([sum(map(len, bag)) for bag in bags], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), sizes, pa.array(bags, pa.list_(pa.list_(pa.string())))], ["doc_id", "y", "size", "bag"])
 
     bags = cut(chosen.mapInArrow(by_chunk(make, 64), f"doc_id {dict(documents.dtypes)['doc_id']}, y int, size bigint, bag array<array<string>>"))
     so_far = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))  # at most max_train_docs rows
     few = bags.select("doc_id", "size").withColumn("so_far", so_far).where(F.col("so_far") <= max_train_words).select("doc_id")
-    rows = sorted(zip(*bags.join(few, "doc_id").select("doc_id", "y", "bag").toArrow().to_pydict().values(), strict=True))
-    return fit([bag for _, _, bag in rows], np.array([y for _, y, _ in rows], np.float64))
+    table = bags.join(few, "doc_id").select("doc_id", "y", "bag").toArrow().sort_by("doc_id").combine_chunks()
+    if not table.num_rows:
+        return fit([], np.zeros(0))
+    bag = table.column("bag").combine_chunks()
+    numbers = lambda x: np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
+    lists = bag.flatten()
+    coded = lists.flatten().dictionary_encode()
+    words = Words(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), numbers(lists), numbers(bag))
+    return fit_words(words, table.column("y").to_numpy().astype(np.float64))
 
 
 _RESULT = "doc_id bigint, score double, n_sentences int, n_offending int, worst_start int, worst_end int"

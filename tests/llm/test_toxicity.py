@@ -129,11 +129,11 @@ def test_the_fit_ends_where_no_derivative_is_left():
 def test_the_training_sample_is_bounded_in_words(spark, monkeypatch):
     docs, labels, _ = corpus(spark, 300)
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda docs, y: seen.append(docs) or toxicity.Model())
+    monkeypatch.setattr(toxicity, "fit_words", lambda words, y: seen.append(len(words.word)) or toxicity.Model())
     for most in (10**6, 2000, 0):
         toxicity.train(docs, labels, lambda c: ~toxicity.held_out(c), max_train_words=most)
-    whole, part, none = ([sum(map(len, d)) for d in s] for s in seen)
-    assert len(whole) > 200 and 1900 < sum(part) <= 2000 and not none
+    whole, part, none = seen
+    assert whole > 5000 and 1900 < part <= 2000 and not none
 
 
 def test_names_that_need_quotes(spark):
