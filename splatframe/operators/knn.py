@@ -2,7 +2,7 @@
 
 In a round, points lie in cells of one size, and each open query looks at its cell and the 26 around it. Its k nearest there are
 final if the k-th is nearer than the border of that block, beyond which no seen point lies (sides beyond the points' bounding box
-don't count). The rest go on with twice the cell size, until a block covers all points. Queries outside the box look from the nearest cell in it.
+don't count). The rest go on with twice the cell size, or four times if most of them do, until a block covers all points. Queries outside the box look from the nearest cell in it.
 
 The first size is the one that holds a few points a cell if they were spread evenly, or, where points are clustered, the largest of smaller ones whose cells are that thinly
 filled for the average point. So dense regions are settled while cells are small, and only the queries of sparse ones go on.
@@ -67,7 +67,7 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int = 1, exclude_self: bo
     size = max(size, longest / (1 << 20)) or 1.0
     if size < longest:
         size = max(start_size(points, low, size, need), longest / (1 << 40))
-    open_, done = queries, None
+    open_, done, remaining = queries, None, queries.count()
     best = Window.partitionBy("qid").orderBy("dist_sq", "pid")
     while True:
         last = size >= longest
@@ -98,9 +98,10 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int = 1, exclude_self: bo
         found = near.join(final, "qid", "left_semi").select("qid", "rank", "pid", "dist_sq")
         done = found if done is None else done.unionByName(found)
         open_ = cut(open_.join(final, "qid", "left_anti"))
-        if not open_.limit(1).count():
+        before, remaining = remaining, open_.count()
+        if not remaining:
             break
-        size *= 2
+        size *= 2 if remaining < before / 2 else 4
     if exclude_self:
         done = done.where("rank > 1").withColumn("rank", F.col("rank") - 1)
     if exclude_same_id:
