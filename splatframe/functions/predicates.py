@@ -165,9 +165,51 @@ def on_disc(t: Column, start: Vec3, d: Vec3, mean: Vec3, c: Sym3, iso: Column) -
 
 
 def corners_on_both_sides(box: tuple[Vec3, Vec3], mean: Vec3, normal: Vec3) -> Column:
-    """Whether the plane has corners above it and corners on or below it."""
-    sides = []
-    for i in range(8):
-        corner = Vec3(*(box[i >> axis & 1][axis] for axis in range(3)))
-        sides.append(dot(sub(corner, mean), normal))
-    return (F.greatest(*sides) > 0) & (F.least(*sides) <= 0)
+    """Whether the plane has corners above it and corners on or below it: the highest and the lowest corner are so on every axis."""
+    ends = [[(side[k] - mean[k]) * normal[k] for side in box] for k in range(3)]
+    high, low = (f(*ends[0]) + f(*ends[1]) + f(*ends[2]) for f in (F.greatest, F.least))
+    return (high > 0) & (low <= 0)
+
+
+def cube_offsets(p: Vec3, size: Column, mean: Vec3) -> dict[str, Column]:
+    """The cube's low and high ends on each axis, relative to the mean (``_o00`` ..., by axis and 0 or 1)."""
+    return {f"_o{k}{n}": p[k] + shift - mean[k] for k in range(3) for n, shift in enumerate((F.lit(0.0), size))}
+
+
+def cube_plane_terms(size: Column, normal: Vec3) -> dict[str, Column]:
+    """How steep the cube's axes meet the plane (``_s0`` ...), and how far below it the corners are where edges start (``_h000`` ..., by axis 0 low or 1 high); of columns as ``cube_offsets`` has them."""
+    out = {f"_s{axis}": size * normal[axis] for axis in range(3)}
+    for bits in ("000", "001", "010", "011", "100", "101", "110"):
+        out[f"_h{bits}"] = -dot(Vec3(*(F.col(f"_o{k}{bit}") for k, bit in enumerate(bits))), normal)
+    return out
+
+
+def cube_plane_parameters() -> dict[str, Column]:
+    """Where the cube's twelve edges meet the plane (``_p0_00`` ..., as in ``cube_slopes``), or ``MISS``; of columns as ``cube_plane_terms`` has them."""
+    out = {}
+    for axis, i, j in _EDGES:
+        steep, corner = F.col(f"_s{axis}"), [str(i), str(j)]
+        corner.insert(axis, "0")
+        out[f"_p{axis}_{i}{j}"] = F.when(F.abs(steep) >= 1e-6, F.col(f"_h{''.join(corner)}") / steep).otherwise(MISS)
+    return out
+
+
+def cube_disc_parameters(p: Vec3, size: Column, mean: Vec3, c: Sym3, iso: Column) -> dict[str, Column]:
+    """Where the cube's twelve edges meet the planar Gaussian's disc (``_t0_00`` ...), or ``MISS``; of columns as ``cube_plane_parameters`` and ``cube_offsets`` have them."""
+    out = {}
+    for axis, i, j in _EDGES:
+        t, at = F.col(f"_p{axis}_{i}{j}"), [F.col(f"_o{k}{n}") for k, n in zip((k for k in range(3) if k != axis), (i, j), strict=True)]
+        at.insert(axis, p[axis] + t * size - mean[axis])
+        out[f"_t{axis}_{i}{j}"] = F.when((t >= 0) & (t <= 1) & (mahalanobis(Vec3(*at), c) <= iso), t).otherwise(MISS)
+    return out
+
+
+def cube_points(p: Vec3, size: Column, k: int) -> list[tuple[Column, Column]]:
+    """For each of the twelve edges, in the order of ``cube_edges``, whether it meets the disc, and coordinate *k* of the point where it does."""
+    out = []
+    for i in (0, 1):
+        for j in (0, 1):
+            for axis in range(3):
+                t, ends = F.col(f"_t{axis}_{i}{j}"), dict(zip((n for n in range(3) if n != axis), (i, j), strict=True))
+                out.append((t >= 0, p[k] + t * size if k == axis else p[k] + size if ends[k] else p[k]))
+    return out

@@ -76,19 +76,19 @@ def planar_voxel_pairs(voxels: DataFrame, gaussians: DataFrame, iso: float | str
     rows = _candidates(voxels, gaussians, need)
     voxel, mean, normal, level = box(VOXEL), vec(*MEAN), vec(*NORMAL), iso_of(iso)
     size = F.col("vx1").cast("double") - F.col("vx0").cast("double")
-    edges = [(start, p.along(axis, size)) for start, axis in p.cube_edges(voxel[0], size)]
-    rows = rows.where(p.corners_on_both_sides(voxel, mean, normal))
-    rows = rows.withColumns({f"_p{i}": p.plane_parameter(start, d, mean, normal) for i, (start, d) in enumerate(edges)})
-    rows = bind(rows, {f"_t{i}": p.on_disc(F.col(f"_p{i}"), start, d, mean, covi(), level) for i, (start, d) in enumerate(edges)})
-    met = [F.col(f"_t{i}") >= 0 for i in range(len(edges))]
-    rows = rows.where(p.any_of(met))
+    rows = rows.where(p.corners_on_both_sides(voxel, mean, normal)).withColumn("_size", size)
+    size = F.col("_size")
+    rows = rows.withColumns(p.cube_offsets(voxel[0], size, mean))
+    rows = rows.withColumns(p.cube_plane_terms(size, normal))
+    rows = rows.withColumns(p.cube_plane_parameters())
+    rows = bind(rows, p.cube_disc_parameters(voxel[0], size, mean, covi(), level))
+    rows = rows.where(p.any_of(met for met, _ in p.cube_points(voxel[0], size, 0)))
     out = ["vid", "gid"]
     if not centroids:
         return _limited(rows.select(*out), max_pairs)
-    count = reduce(lambda a, b: a + b, (m.cast("int") for m in met))
-    for a in range(3):
-        sums = (F.when(m, start[a] + F.col(f"_t{i}") * d[a]).otherwise(0.0) for i, (m, (start, d)) in enumerate(zip(met, edges, strict=True)))
-        rows = rows.withColumn(f"c{'xyz'[a]}", reduce(lambda x, y: x + y, sums, F.lit(0.0)) / count)
+    rows = rows.withColumn("_n", reduce(lambda a, b: a + b, (met.cast("int") for met, _ in p.cube_points(voxel[0], size, 0))))
+    sums = [reduce(lambda a, b: a + b, (F.when(met, at).otherwise(0.0) for met, at in p.cube_points(voxel[0], size, k)), F.lit(0.0)) for k in range(3)]
+    rows = rows.withColumns({f"c{a}": total / F.col("_n") for a, total in zip("xyz", sums, strict=True)})
     out += ["cx", "cy", "cz"]
     if densities:
         rows = rows.withColumn("_power", power(sub(vec("cx", "cy", "cz"), mean), covi()))
