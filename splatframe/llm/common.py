@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..lineage import cut, quoted, running, shared_folder
 
-__all__ = ["GAP", "WORD", "by_chunk", "cut", "new_folder", "numbered", "quoted", "read_table", "remove_folder", "running", "shared_folder", "stored", "whole_row", "with_field"]
+__all__ = ["GAP", "WORD", "by_chunk", "cut", "folders", "new_folder", "numbered", "quoted", "read_table", "remove_folder", "remove_others", "running", "shared_folder", "stored", "whole_row", "with_field", "write_between"]
 
 #: A word: a run of bytes that are neither space nor tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,22 +21,51 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]*"
 
 
+class _Made(threading.local):
+    """The folders that a thread made and didn't remove."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a folder, not made yet, for files that executors write for each other."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.paths.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE.paths[-1]
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Removes a folder of ``new_folder`` that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _MADE.paths:
+        _MADE.paths.remove(folder)
+
+
+def remove_others(spark: SparkSession, before: list[str], keep: str) -> None:
+    """Removes the folders that this thread made since *before* (an earlier ``folders``) but *keep*."""
+    for folder in [f for f in _MADE.paths if f not in before and f != keep]:
+        remove_folder(spark, folder)
+
+
+def folders() -> list[str]:
+    """The folders that this thread made and that are there now."""
+    return list(_MADE.paths)
+
+
+def write_between(df: DataFrame, folder: str) -> None:
+    """Writes rows that are soon read again: small row groups, so that a task holds few rows."""
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read from there."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    folder, schema = new_folder(df.sparkSession, name), df.schema
+    write_between(df, folder)
+    return df.sparkSession.read.schema(schema).parquet(folder)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import cut, new_folder, quoted, remove_folder, running, whole_row
+from .common import cut, new_folder, quoted, remove_folder, running, whole_row, write_between
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
@@ -68,7 +68,7 @@ def write_shards(df: DataFrame, folder: str, shards: int = SHARDS, bucket_bytes:
     scattered = kept.select(whole_row(kept).alias("row"), hashed.alias("hash"), mark.alias("mark")).join(F.broadcast(many), F.col("hash") == F.col("many"), "left")  # at most PART rows
     scattered = scattered.select(F.pmod(place, F.lit(buckets)).alias("bucket"), "mark", "row")
     between, schema = new_folder(spark, "scattered"), scattered.schema
-    scattered.write.option("compression", "zstd").parquet(between)
+    write_between(scattered, between)
     scattered = spark.read.schema(schema).parquet(between)
 
     # Pass two: the first row of each bucket says where it starts.

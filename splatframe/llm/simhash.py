@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import by_chunk, cut, new_folder, quoted, whole_row, with_field
+from .common import by_chunk, cut, quoted, stored, whole_row, with_field
 
 #: The sets of four byte positions that are posted. Every choice of six positions contains three of these, which cover it.
 POSITIONS = tuple(p for p in itertools.combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0)
@@ -184,14 +184,10 @@ def representatives(documents: DataFrame) -> DataFrame:
 
     Rows equal in both are told apart by a hash of their text, and rows equal in that by their place in the input.
     """
-    folder = new_folder(documents.sparkSession, "prints")
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), whole_row(documents).alias("row"))
     text = documents.columns.index("text")
     make = lambda batch: _fp(batch, batch.column("row").flatten()[text])
-    rows = rows.mapInArrow(by_chunk(make, 1024), with_field(rows, "fp", LongType()))
-    schema = rows.schema
-    rows.write.option("compression", "zstd").parquet(folder)
-    rows = documents.sparkSession.read.schema(schema).parquet(folder)
+    rows = stored(rows.mapInArrow(by_chunk(make, 256), with_field(rows, "fp", LongType())), "prints")
     prints = rows.select(F.col("row.doc_id").alias("doc_id"), "fp", F.xxhash64("row.text").alias("mark"), "rid")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "mark", "rid"))
     kept = _with_components(prints).groupBy("component").agg(first.alias("k")).select(F.col("k.rid").alias("of"))

@@ -19,7 +19,7 @@ import sys
 from collections.abc import Callable
 
 #: Bytes of what a worker remembers of the parts and words met last: parts, words after a space, bare words, first parts, punctuation.
-REMEMBERED = {"known": 160 << 20, "spaced": 64 << 20, "bare": 32 << 20, "firsts": 16 << 20, "marks": 16 << 20}
+REMEMBERED = {"known": 112 << 20, "spaced": 40 << 20, "bare": 24 << 20, "firsts": 8 << 20, "marks": 8 << 20}
 #: What is longer isn't remembered.
 LONGEST = 256
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")

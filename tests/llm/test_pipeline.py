@@ -3,10 +3,12 @@ from collections import Counter
 
 import corpus_pipeline
 from splatframe.llm import mixing
+from splatframe.llm.common import folders
 
 from . import cases
 from .test_mixing import check as check_mix
 from .test_simhash import fingerprint, groups
+from .test_tokens import check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,11 +41,14 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
             merged = Counter((r.doc_id, r.text) for r in before)
             assert len(merged) >= len({r.doc_id for r in before})
             assert sum(r.length for r in after) > 0 and max(r.offset + r.length for r in after) <= 2048
+            assert check_packing(before, after) > 0.95
         docs = out
 
 
 def test_run(spark):
+    before = folders()
     assert corpus_pipeline.run(spark, SF).count() > 100
+    assert len(folders()) == len(before) + 1  # the last stage's rows
 
 
 def test_odd_rows_pass_through_all_stages(spark, tmp_path):
