@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from splatframe.llm import mixing, packing, simhash, toxicity
-from splatframe.llm.common import new_folder, read_table
+from splatframe.llm.common import folders, new_folder, read_table, remove_others
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them; a source's last one may be taken in part."""
+    """The documents that the mix takes, as often as it takes them, in the order of shard and position; a source's last one may be taken in part."""
     return mixing.mixed_documents(docs)
 
 
@@ -40,10 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages on documents, each written to the shared folder and read again. What a stage and those before it wrote is removed once it is written itself."""
+    docs, before = read_table(spark, sf_dir, "documents"), folders()
     for name, stage in STAGES:
         folder = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
+        remove_others(spark, before, folder)
         docs = spark.read.parquet(folder)
     return docs
