@@ -70,3 +70,13 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     that, and still is compiled.
     """
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """*df* in as many partitions as shuffles have, by *key*: for few rows that become many, where a small file is one task and a broadcast join has no shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def never_null(names: Sequence[str]) -> list[Column]:
+    """Columns without nulls, as doubles whose type says so: a filter doesn't tell that to what follows a generator, and handling nulls makes compiled methods several times as long."""
+    return [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as p
 from ..functions.gaussian import density_of, power
 from ..functions.vec3 import finite, present, sub, vec
-from ..lineage import bind
+from ..lineage import bind, never_null, spread
 from ..schema import BOX, CONTACT, COVI, MEAN, NORMAL, VOXEL, box, covi, iso_of, require
 from .broadphase import overlap_join
 
@@ -22,10 +22,10 @@ def _limited(pairs: DataFrame, max_pairs: int | None) -> DataFrame:
 def _candidates(voxels: DataFrame, gaussians: DataFrame, used: list[str]) -> DataFrame:
     require(voxels, "vid", *sum(VOXEL, ()))
     require(gaussians, "gid", *used)
-    numbers = [c for c in used if c != "gid"]
-    # Filters that say so let Spark leave the handling of nulls out of all that follows.
-    gaussians = gaussians.where(present(*numbers) & finite(*(F.col(c).cast("double") for c in numbers))).select("gid", *used)
-    return overlap_join(gaussians, BOX, voxels.select("vid", *sum(VOXEL, ())).where(present(*sum(VOXEL, ()))), VOXEL)
+    numbers, corners = [c for c in used if c != "gid"], sum(VOXEL, ())
+    gaussians = gaussians.where(present(*numbers) & finite(*(F.col(c).cast("double") for c in numbers))).select("gid", *never_null(numbers))
+    voxels = voxels.where(present(*corners)).select("vid", *never_null(corners))
+    return overlap_join(spread(gaussians, "gid"), BOX, voxels, VOXEL)
 
 
 def voxel_pairs(
@@ -51,9 +51,12 @@ def voxel_pairs(
     rows = rows.where((ratio >= ar_threshold) & (depth >= p_threshold))
     rows = rows.withColumns({"_size": size} | dict(zip(("_ax", "_ay", "_az"), sub(voxel[0], mean), strict=True)))
     at, size, contacts = vec("_ax", "_ay", "_az"), F.col("_size"), tuple(vec(*c) for c in CONTACT)
-    rows = rows.withColumns(p.face_parameters(at, size, contacts) | p.cube_terms(at, size, covi(), level))
-    rows = rows.withColumns({"_in": p.box_inside(own, voxel) | p.face_pierced(at, size, contacts)} | p.cube_slopes(at, size))
-    rows = bind(rows, {"_meets": F.col("_in") | p.any_of(p.cube_edge_hits(size))}).where("_meets")
+    # Each bound step is a compiled method of its own, and small: the JVM interprets methods over 8,000 bytes unless it is told otherwise.
+    rows = bind(rows, p.face_parameters(at, size, contacts) | p.cube_terms(at, size, covi(), level))
+    hits = p.cube_edge_hits(size)
+    rows = bind(rows, {"_in": p.box_inside(own, voxel) | p.face_pierced(at, size, contacts)} | p.cube_slopes(at, size))
+    rows = bind(rows, {"_some": F.col("_in") | p.any_of(hits[:6])})
+    rows = bind(rows, {"_meets": F.col("_some") | p.any_of(hits[6:])}).where("_meets")
     out = ["vid", "gid"]
     if centroids:
         c = p.middle(p.overlap_box(own, voxel))

@@ -1,6 +1,7 @@
 """The example scene with its known counts, edge cases, and agreement with a plain numpy specification."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from splatframe import schema
 from splatframe.functions import gaussian, predicates, vec3
 from splatframe.operators import bounds, broadphase, edges, grids, knn, masks, voxels
+from splatframe.plans import catalogue
 
 RAW = "gid bigint, mx double, my double, mz double, qw double, qx double, qy double, qz double, sx double, sy double, sz double, opacity double, nx double, ny double, nz double"
 
@@ -310,3 +312,26 @@ def test_mask_and_list_from_one_pass(scene):
     g, v = scene
     mask, listed = masks.matches(v, voxels.voxel_pairs(v, g), "vid", 3)
     assert mask.where("hit").count() == 111 and sorted(r.vid for r in listed.collect()) == [147, 148, 149]
+
+
+#: Queries on pairs of voxels and solid Gaussians.
+ON_VOXEL_PAIRS = ["gs_voxel_pairs"]
+
+
+@pytest.mark.parametrize("name", ON_VOXEL_PAIRS)
+def test_methods_that_the_jvm_compiles(spark, sf_dir, name):
+    """Longer ones than 8,000 bytes are interpreted, unless the JVM is told otherwise."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution()
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) <= 8000
+
+
+def test_gaussians_of_one_file_are_spread(spark):
+    """A small file is one partition, and its pairs with broadcast voxels were made by one task."""
+    raw = spark.createDataFrame([(i, i / 50 - 1, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.1, 0.1, 0.1, 0.5, 0.0, 0.0, 1.0) for i in range(100)], RAW).coalesce(1)
+    pairs = voxels.voxel_pairs(grids.voxel_grid(spark, 8, size=0.25), bounds.gaussian_bounds(raw, 8))
+    assert sum(n > 0 for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
