@@ -60,8 +60,8 @@ def voxel_pairs(
     out = ["vid", "gid"]
     if centroids:
         c = p.middle(p.overlap_box(own, voxel))
-        rows = rows.withColumns({"cx": c.x, "cy": c.y, "cz": c.z})
-        rows = rows.withColumn("_power", power(sub(vec("cx", "cy", "cz"), mean), covi()))
+        rows = bind(rows, {"cx": c.x, "cy": c.y, "cz": c.z})
+        rows = bind(rows, {"_power": power(sub(vec("cx", "cy", "cz"), mean), covi())})
         out += ["cx", "cy", "cz", density_of(F.col("_power"), F.col("opacity").cast("double")).alias("density")]
     return _limited(rows.select(*out), max_pairs)
 
