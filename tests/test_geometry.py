@@ -335,3 +335,10 @@ def test_gaussians_of_one_file_are_spread(spark):
     raw = spark.createDataFrame([(i, i / 50 - 1, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.1, 0.1, 0.1, 0.5, 0.0, 0.0, 1.0) for i in range(100)], RAW).coalesce(1)
     pairs = voxels.voxel_pairs(grids.voxel_grid(spark, 8, size=0.25), bounds.gaussian_bounds(raw, 8))
     assert sum(n > 0 for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
+
+
+def test_kept_pairs_are_spread(spark):
+    raw = spark.createDataFrame([(i, i / 50 - 1, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.1, 0.1, 0.1, 0.5, 0.0, 0.0, 1.0) for i in range(100)], RAW).coalesce(1)
+    grid = grids.voxel_grid(spark, 8, size=0.25)
+    _, listed = masks.matches(grid, voxels.voxel_pairs(grid, bounds.gaussian_bounds(raw, 8)), "vid")
+    assert listed.select(F.spark_partition_id().alias("n")).distinct().count() > 1
