@@ -315,7 +315,7 @@ def test_mask_and_list_from_one_pass(scene):
 
 
 #: Queries on pairs of voxels and solid Gaussians.
-ON_VOXEL_PAIRS = ["gs_voxel_pairs", "density_filter", "density_hist", "gs_voxel_centroids", "gs_voxel_iso_col", "gs_voxel_pairs_first", "gs_voxel_raw", "hit_count", "overlap_boxes"]
+ON_VOXEL_PAIRS = ["gs_voxel_pairs", "density_filter", "density_hist", "gs_voxel_centroids", "gs_voxel_iso_col", "gs_voxel_pairs_first", "gs_voxel_raw", "hit_count", "overlap_boxes", "voxel_misses"]
 
 
 @pytest.mark.parametrize("name", ON_VOXEL_PAIRS)
