@@ -13,10 +13,14 @@ Sym3 = tuple[Column, Column, Column, Column, Column, Column]
 
 def unit_quaternion(w: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column, Column]:
     """Null components for the zero quaternion."""
-    n = F.sqrt(w * w + x * x + y * y + z * z)
+    n = quaternion_norm(w, x, y, z)
     return tuple(F.try_divide(v, n) for v in (w, x, y, z))
 
 
+def quaternion_norm(w: Column, x: Column, y: Column, z: Column) -> Column:
+    return F.sqrt(w * w + x * x + y * y + z * z)
+
+
 def rotation(w: Column, x: Column, y: Column, z: Column) -> tuple[Vec3, Vec3, Vec3]:
     """The rows of a quaternion's rotation matrix."""
     one, two = F.lit(1.0), F.lit(2.0)
@@ -29,7 +33,16 @@ def rotation(w: Column, x: Column, y: Column, z: Column) -> tuple[Vec3, Vec3, Ve
 
 def inverse_covariance(rows: tuple[Vec3, Vec3, Vec3], s: Vec3) -> Sym3:
     """``R diag(1 / s^2) R^T`` of rotation rows and axis scales."""
-    m = [Vec3(*(F.try_divide(r, a) for r, a in zip(row, s, strict=True))) for row in rows]
+    return gram(scaled_axes(rows, s))
+
+
+def scaled_axes(rows: tuple[Vec3, Vec3, Vec3], s: Vec3) -> tuple[Vec3, Vec3, Vec3]:
+    """``R diag(1 / s)``, by rows."""
+    return tuple(Vec3(*(F.try_divide(r, a) for r, a in zip(row, s, strict=True))) for row in rows)
+
+
+def gram(m: tuple[Vec3, Vec3, Vec3]) -> Sym3:
+    """``M M^T`` of rows."""
     pick = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
     return tuple(m[i].x * m[j].x + m[i].y * m[j].y + m[i].z * m[j].z for i, j in pick)
 
@@ -64,9 +77,17 @@ def density(d: Vec3, c: Sym3, opacity: Column) -> Column:
 def contact_points(c: Sym3, det_scale: Column, iso: Column) -> tuple[Vec3, Vec3, Vec3]:
     """Offsets from the mean where the iso surface touches the faces of its box (one of each opposite two)."""
     h = cofactors(c)
-    reach = [det_scale * F.sqrt(F.try_divide(iso, h[i])) for i in (0, 3, 5)]
+    return contacts_of(contact_weights(h, det_scale, iso), h)
+
+
+def contact_weights(h: Sym3, det_scale: Column, iso: Column) -> tuple[Column, Column, Column]:
+    """What the rows of the cofactors *h* are multiplied by for the contact points."""
+    return tuple(det_scale * F.sqrt(F.try_divide(iso, h[i])) for i in (0, 3, 5))
+
+
+def contacts_of(weights: tuple[Column, Column, Column], h: Sym3) -> tuple[Vec3, Vec3, Vec3]:
     rows = ((0, 1, 2), (1, 3, 4), (2, 4, 5))
-    return tuple(Vec3(*(w * h[i] for i in row)) for w, row in zip(reach, rows, strict=True))
+    return tuple(Vec3(*(w * h[i] for i in row)) for w, row in zip(weights, rows, strict=True))
 
 
 def surface_point(mean: Vec3, rows: tuple[Vec3, Vec3, Vec3], s: Vec3, iso: Column, u: Column, v: Column) -> Vec3:

@@ -142,8 +142,17 @@ def overlap_box(a: tuple[Vec3, Vec3], b: tuple[Vec3, Vec3]) -> tuple[Vec3, Vec3]
 
 def overlap_ratios(box: tuple[Vec3, Vec3], size: Column) -> tuple[Column, Column]:
     """Aspect ratio of the overlap box, and its least side over the voxel's size; 0 where the divisor is tiny."""
-    sides = [F.greatest(hi - lo, F.lit(0.0)) for lo, hi in zip(*box, strict=True)]
-    least, most = F.least(*sides), F.greatest(*sides)
+    least, most = F.least(*sides(box)), F.greatest(*sides(box))
+    return side_ratios(least, most, size)
+
+
+def sides(box: tuple[Vec3, Vec3]) -> Vec3:
+    """Lengths on each axis; 0 where the box ends before it begins."""
+    return Vec3(*(F.greatest(hi - lo, F.lit(0.0)) for lo, hi in zip(*box, strict=True)))
+
+
+def side_ratios(least: Column, most: Column, size: Column) -> tuple[Column, Column]:
+    """``overlap_ratios`` of a box with these least and most sides."""
     ratio = lambda n, d: F.when(d <= 1e-6, F.lit(0.0)).otherwise(F.try_divide(n, d))
     return ratio(least, most), ratio(least, size)
 

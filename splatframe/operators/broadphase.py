@@ -28,7 +28,7 @@ FINER = 2
 def _level(b: tuple[Vec3, Vec3]) -> Column:
     side = F.greatest(*(hi - lo for lo, hi in zip(*b, strict=True)))
     side = F.greatest(F.least(side, F.lit(2.0**MOST)), F.lit(2.0**LEAST))
-    return F.ceil(F.log2(side)).cast("int")
+    return F.coalesce(F.ceil(F.log2(side)).cast("int"), F.lit(LEAST))  # never null, and its type says so
 
 
 def _meeting(a: Column, b: Column) -> Column:
@@ -41,8 +41,8 @@ def _held(c: Column) -> Column:
 
 
 def _cells(lo: Column, hi: Column, size: Column, upper: bool) -> tuple[Column, Column]:
-    """First and last cell on an axis: with *upper* of ``[lo, hi)``, else of ``[lo, hi]`` and of what ends where it begins."""
-    lo, hi = _held(lo) / size, _held(hi) / size
+    """First and last cell on an axis, *size* being 1 over a cell's (a power of two, so products are exact and, unlike quotients, never null): with *upper* of ``[lo, hi)``, else of ``[lo, hi]`` and of what ends where it begins."""
+    lo, hi = _held(lo) * size, _held(hi) * size
     if upper:
         return F.floor(lo).cast("bigint"), F.greatest(F.floor(lo), F.ceil(hi) - 1).cast("bigint")
     return (F.ceil(lo) - 1).cast("bigint"), F.floor(hi).cast("bigint")
@@ -57,7 +57,7 @@ def _listed(df: DataFrame, names, others: DataFrame, tag: str, upper: bool) -> D
     own, levels, at = (f"_bp_{tag}_{n}" for n in ("own", "levels", "level"))
     rows = bind(df, {own: _level(b)}).join(F.broadcast(others.withColumnRenamed("_bp_levels", levels)))  # a row of at most 71 levels
     rows = rows.withColumn(at, F.explode(F.array_distinct(F.transform(levels, lambda n: _meeting(F.col(own), n))))).drop(levels)
-    size = F.pow(F.lit(2.0), F.col(at).cast("double"))
+    size = F.pow(F.lit(2.0), -F.col(at).cast("double"))
     ends = {}
     for k in range(3):
         ends[f"_bp_{tag}_first{k}"], ends[f"_bp_{tag}_last{k}"] = _cells(b[0][k], b[1][k], size, upper)

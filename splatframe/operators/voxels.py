@@ -25,7 +25,11 @@ def _candidates(voxels: DataFrame, gaussians: DataFrame, used: list[str]) -> Dat
     numbers, corners = [c for c in used if c != "gid"], sum(VOXEL, ())
     gaussians = gaussians.where(present(*numbers) & finite(*(F.col(c).cast("double") for c in numbers))).select("gid", *never_null(numbers))
     voxels = voxels.where(present(*corners)).select("vid", *never_null(corners))
-    return overlap_join(spread(gaussians, "gid"), BOX, voxels, VOXEL)
+    # What the join doesn't look at is one column in it: the JVM's optimising compiler refuses methods with many arguments, and rows are listed in methods that take each column as one.
+    more = [c for c in numbers if c not in sum(BOX, ())]
+    packed = spread(gaussians.select("gid", *sum(BOX, ()), F.struct(*more).alias("_more")), "gid")
+    pairs = overlap_join(packed, BOX, voxels, VOXEL)
+    return pairs.select("gid", *sum(BOX, ()), *(F.col("_more")[c].alias(c) for c in more), "vid", *corners)
 
 
 def voxel_pairs(
@@ -46,22 +50,26 @@ def voxel_pairs(
     rows = _candidates(voxels, gaussians, need)
     voxel, own, mean, level = box(VOXEL), box(BOX), vec(*MEAN), iso_of(iso)
     size = F.col("vx1").cast("double") - F.col("vx0").cast("double")
-    ratio, depth = p.overlap_ratios(p.overlap_box(own, voxel), size)
-    # The cheap test is part of the join; what is left is bound step by step.
+    # The overlap box is bound, so that the filter on it doesn't repeat it at each mention.
+    rows = bind(rows, {f"_o{a}": side for a, side in zip("xyz", p.sides(p.overlap_box(own, voxel)), strict=True)})
+    sides = vec("_ox", "_oy", "_oz")
+    rows = bind(rows, {"_least": F.least(*sides), "_most": F.greatest(*sides)})
+    ratio, depth = p.side_ratios(F.col("_least"), F.col("_most"), size)
     rows = rows.where((ratio >= ar_threshold) & (depth >= p_threshold))
-    rows = rows.withColumns({"_size": size} | dict(zip(("_ax", "_ay", "_az"), sub(voxel[0], mean), strict=True)))
+    # Each bound step is a compiled method of its own. The JVM's optimising compiler wants it small (8,000 bytes) and with few arguments (some 55 columns),
+    # so a step ends the use of as many columns as it can.
+    middle = dict(zip(("cx", "cy", "cz"), p.middle(p.overlap_box(own, voxel)), strict=True)) if centroids else {}
+    rows = bind(rows, {"_inside": p.box_inside(own, voxel), "_size": size} | dict(zip(("_ax", "_ay", "_az"), sub(voxel[0], mean), strict=True)) | middle)
     at, size, contacts = vec("_ax", "_ay", "_az"), F.col("_size"), tuple(vec(*c) for c in CONTACT)
-    # Each bound step is a compiled method of its own, and small: the JVM interprets methods over 8,000 bytes unless it is told otherwise.
-    rows = bind(rows, p.face_parameters(at, size, contacts) | p.cube_terms(at, size, covi(), level))
+    rows = bind(rows, p.face_parameters(at, size, contacts) | ({"_power": power(sub(vec("cx", "cy", "cz"), mean), covi())} if centroids else {}))
+    rows = bind(rows, {"_in": F.col("_inside") | p.face_pierced(at, size, contacts)})
+    rows = bind(rows, p.cube_terms(at, size, covi(), level))
+    rows = bind(rows, p.cube_slopes(at, size))
     hits = p.cube_edge_hits(size)
-    rows = bind(rows, {"_in": p.box_inside(own, voxel) | p.face_pierced(at, size, contacts)} | p.cube_slopes(at, size))
     rows = bind(rows, {"_some": F.col("_in") | p.any_of(hits[:6])})
     rows = bind(rows, {"_meets": F.col("_some") | p.any_of(hits[6:])}).where("_meets")
     out = ["vid", "gid"]
     if centroids:
-        c = p.middle(p.overlap_box(own, voxel))
-        rows = bind(rows, {"cx": c.x, "cy": c.y, "cz": c.z})
-        rows = bind(rows, {"_power": power(sub(vec("cx", "cy", "cz"), mean), covi())})
         out += ["cx", "cy", "cz", density_of(F.col("_power"), F.col("opacity").cast("double")).alias("density")]
     return _limited(rows.select(*out), max_pairs)
 

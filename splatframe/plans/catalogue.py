@@ -59,7 +59,7 @@ def _mapping(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_iso(spark: SparkSession, d: str) -> DataFrame:
-    return bounds.gaussian_bounds(scenes.gaussians_raw(spark, d), scenes.LEVEL, "iso", rotnorm=True)
+    return scenes.gaussians(spark, d, "iso")
 
 
 def _places(*names: str, places: int = 6) -> list[Column]:
@@ -105,7 +105,7 @@ QUERIES: dict[str, Query] = {
     "box_edges_mapping": _mapping,
     "gs_voxel_raw": lambda s, d: _voxel_pairs(s, d, ar_threshold=0.0, p_threshold=0.0),
     "gs_voxel_pairs": _voxel_pairs,
-    "gs_voxel_iso_col": lambda s, d: voxels.voxel_pairs(scenes.voxels(s), bounds.gaussian_bounds(scenes.gaussians_raw(s, d), scenes.LEVEL, "iso", rotnorm=True), "iso"),
+    "gs_voxel_iso_col": lambda s, d: voxels.voxel_pairs(scenes.voxels(s), _by_iso(s, d), "iso"),
     "gs_voxel_centroids": _centroids,
     "gs_voxel_mask": lambda s, d: masks.hit_mask(scenes.voxels(s), _voxel_pairs(s, d), "vid"),
     "voxel_hits": _split(masks.hits),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import spread
 from ..operators.bounds import gaussian_bounds
 from ..operators.grids import box_edges, unique_edges, voxel_grid
 from ..schema import require
@@ -37,8 +38,9 @@ def gaussians_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaussian_bounds(gaussians_raw(spark, sf_dir), LEVEL, rotnorm=True)
+def gaussians(spark: SparkSession, sf_dir: str, iso: float | str = 11.345) -> DataFrame:
+    """With bounds; spread before, for a million rows are one small file, which one or two tasks would work on."""
+    return gaussian_bounds(spread(gaussians_raw(spark, sf_dir), "gid"), LEVEL, iso, rotnorm=True)
 
 
 def voxels(spark: SparkSession) -> DataFrame:

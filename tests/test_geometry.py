@@ -342,3 +342,15 @@ def test_kept_pairs_are_spread(spark):
     grid = grids.voxel_grid(spark, 8, size=0.25)
     _, listed = masks.matches(grid, voxels.voxel_pairs(grid, bounds.gaussian_bounds(raw, 8)), "vid")
     assert listed.select(F.spark_partition_id().alias("n")).distinct().count() > 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("gs_voxel_raw", 8000), ("gs_voxel_iso_col", 8000), ("gs_voxel_centroids", 8000), ("gs_covi", 4000)])
+def test_methods_with_few_arguments(spark, sf_dir, name, most):
+    """The JVM's optimising compiler refuses methods with many arguments ("unsupported calling sequence"), and those of bounds were as long as the JVM compiles (8,033 bytes on a larger table)."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shown = spark._jvm.PythonSQLUtils.explainString(catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown))) <= most
+    assert max(len(a.split(",")) for a in re.findall(r"private void \w+_doConsume_\d+\(([^)]*)\)", shown)) < 50
