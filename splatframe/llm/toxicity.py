@@ -11,7 +11,8 @@ rates; on the others the sample has no evidence, and their weight is 0.
 
 The fit uses at most ``max_train_docs`` labelled documents, those with the
 least seeded hashes (4,000 by default), as far as they have ``max_train_words`` words (4 million by default) together: documented, fixed bounds, so what the driver holds
-doesn't grow. Executors cut their texts into sentences and words; the driver gets these as numbers of words and one list of different words. Every document is scored, over its whole text, in one pass without a shuffle; the model that is broadcast
+doesn't grow. Executors cut their texts into sentences and words; the driver gets these as numbers of words and one list of different words, makes features some words at a time,
+and gives the memory back. Every document is scored, over its whole text, in one pass without a shuffle; the model that is broadcast
 has one weight for a feature of the sample at most.
 
 Defined results: a null, empty or wordless text has no sentence and scores 0. Repeated rows score alike.
@@ -22,6 +23,8 @@ has a weight and a document with sentences scores the training rate. Other colum
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 from collections.abc import Callable
@@ -109,25 +112,40 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
+def _hashes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the features of each word, one after another, and their counts. Made for some words at a time: as Python's numbers those of all words would take several times as much."""
+    counts, parts = np.zeros(len(vocabulary), np.int32), [np.empty(0, np.uint64)]
+    for start in range(0, len(vocabulary), 4096):
+        made = [[xxhash.xxh64_intdigest(f) for f in features(w)] for w in vocabulary[start : start + 4096]]
+        counts[start : start + 4096] = [len(m) for m in made]
+        parts.append(np.array([h for m in made for h in m], np.uint64))
+    return np.concatenate(parts), counts
+
+
 def telling_features(words: Words, y: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The features whose rates in toxic documents and in the others differ, in order; and pairs of a word and a place in that list."""
-    made = [[xxhash.xxh64_intdigest(f) for f in features(w)] for w in words.vocabulary]
-    counts = np.array([len(f) for f in made], np.int64)
-    ids, feature = np.unique(np.array([f for fs in made for f in fs], np.uint64), return_inverse=True)
-    del made
-    starts, n = np.cumsum(counts) - counts, len(ids)
-    both = np.unique(words.doc[words.sentence] * len(counts) + words.word)
-    doc, word = np.divmod(both, len(counts))
+    hashes, counts = _hashes(words.vocabulary)
+    ids, feature = np.unique(hashes, return_inverse=True)
+    feature, starts, n = feature.astype(np.int32), np.cumsum(counts, dtype=np.int64) - counts, len(ids)
+    del hashes
+    both = words.doc[words.sentence].astype(np.int64)
+    both *= len(counts)
+    both += words.word
+    doc, word = np.divmod(np.unique(both), len(counts))
+    del both
     toxic, all_ = np.zeros(n), np.zeros(n)
-    edges = np.searchsorted(doc, np.arange(0, len(y) + 256, 256))  # some documents at a time
+    firsts = np.searchsorted(doc, np.arange(len(y) + 1))  # some documents at a time
+    edges = [*firsts[:-1][np.diff(firsts[:-1] // 65_536, prepend=-1) > 0], len(doc)]
     for a, b in zip(edges, edges[1:], strict=False):
         met = np.unique(np.repeat(doc[a:b], counts[word[a:b]]) * n + feature[_spread(starts[word[a:b]], counts[word[a:b]])])
         toxic += np.bincount(met % n, y[met // n], minlength=n)
         all_ += np.bincount(met % n, minlength=n)
     of_toxic, of_other, p = toxic / y.sum(), (all_ - toxic) / (1 - y).sum(), all_ / len(y)
     z = (of_toxic - of_other) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (1 - y).sum()) + 1e-12)
-    told = set(ids[(all_ >= LEAST_DOCS) & (np.abs(z) > LEAST_Z)].tolist())
-    pairs = [(i, f) for i, w in enumerate(words.vocabulary) for f in sorted(features(w)) if xxhash.xxh64_intdigest(f) in told]
+    told = (all_ >= LEAST_DOCS) & (np.abs(z) > LEAST_Z)
+    having = np.unique(np.repeat(np.arange(len(counts), dtype=np.int32), counts)[told[feature]]).tolist()
+    kept = set(ids[told].tolist())
+    pairs = [(i, f) for i in having for f in sorted(features(words.vocabulary[i])) if xxhash.xxh64_intdigest(f) in kept]
     names = sorted({f for _, f in pairs})
     number = {f: i for i, f in enumerate(names)}
     return names, np.array([i for i, _ in pairs], np.int64), np.array([number[f] for _, f in pairs], np.int64)
@@ -211,12 +229,29 @@ def train(
     table = bags.join(few, "doc_id").select("doc_id", "y", "bag").toArrow().sort_by("doc_id").combine_chunks()
     if not table.num_rows:
         return fit([], np.zeros(0))
-    bag = table.column("bag").combine_chunks()
-    numbers = lambda x: np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
+    y = table.column("y").to_numpy().astype(np.float64)
+    words = _numbers(table.column("bag").combine_chunks())
+    del table
+    _give_back()
+    model = fit_words(words, y)
+    del words
+    _give_back()
+    return model
+
+
+def _numbers(bag: pa.ListArray) -> Words:
+    """Documents as lists of sentences of words, with numbers for the words."""
+    numbers = lambda x: np.repeat(np.arange(len(x), dtype=np.int32), x.value_lengths().to_numpy(zero_copy_only=False))
     lists = bag.flatten()
     coded = lists.flatten().dictionary_encode()
-    words = Words(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), numbers(lists), numbers(bag))
-    return fit_words(words, table.column("y").to_numpy().astype(np.float64))
+    return Words(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), numbers(lists), numbers(bag))
+
+
+def _give_back() -> None:
+    """Returns what was freed to the system: Arrow's pool and the C library keep it else, as long as the driver lives."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has this
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _RESULT = "doc_id bigint, score double, n_sentences int, n_offending int, worst_start int, worst_end int"

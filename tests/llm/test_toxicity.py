@@ -139,3 +139,23 @@ def test_the_training_sample_is_bounded_in_words(spark, monkeypatch):
 def test_names_that_need_quotes(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id bigint, text string, `a``b` string")
     assert toxicity.keep(docs, toxicity.Model()).first() == (1, "a b", "x")
+
+
+def test_the_driver_makes_features_in_little_memory_and_gives_it_back(spark, monkeypatch):
+    import tracemalloc
+
+    rng, n = np.random.default_rng(5), 40_000
+    vocabulary = [f"{''.join(map(chr, rng.integers(97, 123, 9)))}{i}" for i in range(n)]
+    words = toxicity.Words(vocabulary, np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32) // 10, np.arange(n // 10, dtype=np.int32) // 20)
+    y = (np.arange(n // 200) % 2).astype(float)
+    made = sum(len(toxicity.features(w)) for w in vocabulary[:1000]) * n // 1000
+    tracemalloc.start()
+    toxicity.telling_features(words, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * made  # 113 bytes a feature with all of them as numbers of Python's, 68 without
+    given, back = [], toxicity._give_back
+    monkeypatch.setattr(toxicity, "_give_back", lambda: given.append(1) or back())
+    docs, labels, _ = corpus(spark, 50)
+    toxicity.train(docs, labels, lambda c: ~toxicity.held_out(c))
+    assert len(given) == 2
