@@ -33,14 +33,15 @@ def _candidates(voxels: DataFrame, gaussians: DataFrame, used: list[str]) -> Dat
 
 
 def voxel_pairs(
-    voxels: DataFrame, gaussians: DataFrame, iso: float | str | Column = 11.345, ar_threshold: float = 0.1, p_threshold: float = 0.1, centroids: bool = False, max_pairs: int | None = None
+    voxels: DataFrame, gaussians: DataFrame, iso: float | str | Column = 11.345, ar_threshold: float = 0.1, p_threshold: float = 0.1, centroids: bool = False, max_pairs: int | None = None, overlaps: bool = False
 ) -> DataFrame:
     """vid and gid of voxels and bounded Gaussians (``gaussian_bounds``) that meet; with *centroids*, cx, cy, cz and density.
 
     A pair meets if the voxel holds the Gaussian's box, or a diameter to a contact point pierces one of its faces, or one of
     its edges meets the ellipsoid; voxels are taken for cubes of their x side. Of these pairs those stay whose
     overlap box has an aspect ratio of *ar_threshold* and a least side of *p_threshold* of the voxel. The
-    centroid is that box's middle, where the density is taken. *max_pairs* keeps the first in the order of vid and gid.
+    centroid is that box's middle, where the density is taken. *max_pairs* keeps the first in the order of vid and gid. With *overlaps* the box's corners
+    ox0 to oz1 follow.
     """
     extra = [iso] if isinstance(iso, str) else []
     need = sorted({*MEAN, *sum(BOX, ()), *sum(CONTACT, ()), *COVI, *extra, *(["opacity"] if centroids else [])})
@@ -59,7 +60,9 @@ def voxel_pairs(
     # Each bound step is a compiled method of its own. The JVM's optimising compiler wants it small (8,000 bytes) and with few arguments (some 55 columns),
     # so a step ends the use of as many columns as it can.
     middle = dict(zip(("cx", "cy", "cz"), p.middle(p.overlap_box(own, voxel)), strict=True)) if centroids else {}
-    rows = bind(rows, {"_inside": p.box_inside(own, voxel), "_size": size} | dict(zip(("_ax", "_ay", "_az"), sub(voxel[0], mean), strict=True)) | middle)
+    corners = [c.alias(f"o{a}{k}") for k, side in enumerate(p.overlap_box(own, voxel)) for a, c in zip("xyz", side, strict=True)]
+    kept = {"_overlap": F.struct(*corners)} if overlaps else {}  # one column to carry, as in ``_candidates``
+    rows = bind(rows, {"_inside": p.box_inside(own, voxel), "_size": size} | dict(zip(("_ax", "_ay", "_az"), sub(voxel[0], mean), strict=True)) | middle | kept)
     at, size, contacts = vec("_ax", "_ay", "_az"), F.col("_size"), tuple(vec(*c) for c in CONTACT)
     rows = bind(rows, p.face_parameters(at, size, contacts) | ({"_power": power(sub(vec("cx", "cy", "cz"), mean), covi())} if centroids else {}))
     rows = bind(rows, {"_in": F.col("_inside") | p.face_pierced(at, size, contacts)})
@@ -71,6 +74,8 @@ def voxel_pairs(
     out = ["vid", "gid"]
     if centroids:
         out += ["cx", "cy", "cz", density_of(F.col("_power"), F.col("opacity").cast("double")).alias("density")]
+    if overlaps:
+        out.append("_overlap.*")
     return _limited(rows.select(*out), max_pairs)
 
 

@@ -111,7 +111,7 @@ QUERIES: dict[str, Query] = {
     "voxel_hits": _split(masks.hits),
     "voxel_misses": _split(masks.misses),
     "hit_count": lambda s, d: masks.hit_count(masks.hit_mask(scenes.voxels(s), _voxel_pairs(s, d), "vid")),
-    "overlap_boxes": lambda s, d: masks.overlap_boxes(_voxel_pairs(s, d), scenes.voxels(s), scenes.gaussians(s, d)),
+    "overlap_boxes": lambda s, d: _voxel_pairs(s, d, overlaps=True),
     "density_filter": lambda s, d: _centroids(s, d).where("density > 0.001").select("vid", "gid", "density"),
     "density_hist": lambda s, d: masks.density_histogram(_centroids(s, d)),
     "density_max": lambda s, d: _centroids(s, d).agg(F.max("density").alias("max_density")),

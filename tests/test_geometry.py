@@ -354,3 +354,20 @@ def test_methods_with_few_arguments(spark, sf_dir, name, most):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown))) <= most
     assert max(len(a.split(",")) for a in re.findall(r"private void \w+_doConsume_\d+\(([^)]*)\)", shown)) < 50
+
+
+def test_overlap_boxes_come_with_the_pairs(spark, scene):
+    g, v = scene
+    corners = [f"o{a}{k}" for k in (0, 1) for a in "xyz"]
+    rows = lambda df: sorted(df.select("vid", "gid", *corners).collect())
+    made = voxels.voxel_pairs(v, g, overlaps=True)
+    assert made.columns == ["vid", "gid", *corners] and rows(made) == rows(masks.overlap_boxes(voxels.voxel_pairs(v, g), v, g))
+    twice = g.union(g.withColumn("gx1", F.col("gx1") + 0.25))  # two Gaussians of one gid: a box for each pair, where a join by gid gives more
+    assert voxels.voxel_pairs(v, twice, overlaps=True).count() == voxels.voxel_pairs(v, twice).count()
+    assert voxels.voxel_pairs(v, g, centroids=True, overlaps=True).columns == ["vid", "gid", "cx", "cy", "cz", "density", *corners]
+
+
+def test_the_query_of_overlap_boxes_joins_pairs_once(spark, sf_dir):
+    plan = catalogue.QUERIES["overlap_boxes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    of_pairs = catalogue.QUERIES["gs_voxel_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == of_pairs.count("Join ")
