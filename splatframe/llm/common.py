@@ -6,14 +6,16 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..lineage import cut, quoted, running, shared_folder
 
-__all__ = ["GAP", "WORD", "by_chunk", "cut", "folders", "new_folder", "numbered", "quoted", "read_table", "remove_folder", "remove_others", "running", "shared_folder", "stored", "whole_row", "with_field", "write_between"]
+__all__ = ["GAP", "WORD", "by_chunk", "by_size", "cut", "folders", "new_folder", "numbered", "quoted", "read_table", "remove_folder", "remove_others", "running", "shared_folder", "stored", "whole_row", "with_field", "write_between"]
 
 #: A word: a run of bytes that are neither space nor tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,3 +102,13 @@ def by_chunk(
                     yield made
 
     return run
+
+
+def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices with at most *most* bytes in a column of strings, counting 256 more a row, besides their first row's, so that what is made of one stays small."""
+    for batch in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64) + 256)
+        cuts = np.flatnonzero(np.diff(end // most)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if stop > start:
+                yield batch.slice(start, stop - start)

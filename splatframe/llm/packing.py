@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_chunk, cut, running
-from .tokens import encoder, tokenizer_path
+from .common import by_size, cut, running
+from .tokens import AT_ONCE, encoder, tokenizer_path
 
 CAPACITY, END = 2048, 1
 PIECE = 512
@@ -116,7 +116,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, e
             names, columns = [*names, "ids"], [*columns, pa.array(ids, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select("doc_id", "text").mapInArrow(by_chunk(make, 512), _PIECES + (", ids array<bigint>" if keep_ids else ""))
+    return documents.select("doc_id", "text").mapInArrow(lambda batches: map(make, by_size(batches, "text", AT_ONCE)), _PIECES + (", ids array<bigint>" if keep_ids else ""))
 
 
 def _pack_group(capacity: int):

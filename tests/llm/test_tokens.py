@@ -205,3 +205,40 @@ def test_files_by_size_and_wide_ids(spark):
     assert one.ids_crc32 == zlib.crc32(np.array([*ids_of(tokenfile.TOKENIZER, "one"), 70_000], "<u4").tobytes())
     again = docs.where("doc_id = 64").crossJoin(spark.range(3000)).select("doc_id", "text")
     assert tokenfile.token_ids(again).agg({"n_tokens": "sum"}).first()[0] == 3000 * one.n_tokens
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_distinct_word_is_encoded_once_a_call(monkeypatch, name):
+    from splatframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", dict.fromkeys(tokens.REMEMBERED, 1))  # nothing is remembered
+    encoder, asked = Encoder(tokenizer_path(name)), []
+    tokenize = encoder._tokenize
+    encoder._tokenize = lambda word: asked.append(word) or tokenize(word)
+    words = ["".join(p) for p in zip("abcdefghij" * 10, "klmnopqrst" * 5 + "uvwxyzabcd" * 5, "e" * 100, strict=True)]
+    texts = ["_ " + " ".join(w + mark for w in words for mark in ("", ",", "!")) for _ in range(40)]
+    got = encoder.encode(texts)
+    assert len(asked) <= len(set(words)) and got == [got[0]] * 40
+    assert np.frombuffer(got[0], "<u4").tolist() == ids_of(name, texts[0])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_mixed_texts(name):
+    rng = np.random.default_rng(3)
+    pieces = ["a", "Über", "ÿª", "ß", "µ", "it's", "x1", "9", ".", ",", "!?", " ", " ", " ", "  ", "\n", "\n", "\t", "\x02", " ", "　", "é", "é", "漢", "😀", "|", "\x1c", "İ", "ſ", "×", "<|endoftext|>"]
+    texts = ["".join(rng.choice(pieces, n)) for n in rng.integers(0, 30, 3000)]
+    texts += ["".join(c for c in map(chr, range(1, 0x180))), " ".join(map(chr, range(0x21, 0x250))), "\x02", "\x02a b", "a \x02b", "x \x02"]
+    got = Encoder(tokenizer_path(name)).encode(texts)
+    for text, data in zip(texts, got, strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == ids_of(name, text), repr(text)
+
+
+def test_slices_by_size():
+    import pyarrow as pa
+
+    from splatframe.llm.common import by_size
+
+    texts = [None, "", "a" * 900, "b" * 5000, "", "c", "d" * 100] * 20
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 50], pa.string())}) for at in (0, 50, 100)] + [pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]
+    got = [b.column("text").to_pylist() for b in by_size(iter(batches), "text", 2000)]
+    assert sum(got, []) == texts and all(sum(len(t or "") + 256 for t in g[1:]) <= 2000 for g in got) and max(map(len, got)) > 1
