@@ -22,16 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, running
-from .tokens import encoder, tokenizer_path
+from .common import by_size, cut, new_folder, running
+from .tokens import AT_ONCE, encoder, tokenizer_path
 
 LENGTH, END = 2048, 0
 #: Sequences of a record batch.
 BATCH = 256
 #: UTF-8 bytes of text for a file.
 FILE_BYTES = 64 << 20
-#: Documents encoded at once.
-DOCS = 256
 TOKENIZER = "byte_bpe_50k.json"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -93,25 +91,23 @@ def write_token_files(documents: DataFrame, folder: str, length: int = LENGTH, e
         part = TaskContext.get().partitionId()
         name = f"{TaskContext.get().taskAttemptId()}"
         docs = tokens = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                some = batch.slice(at, DOCS)
-                if writer is None:
-                    kind = np.dtype("<u4" if wide or max(end, encoder(path).largest) >= 1 << 16 else "<u2")
-                    store, top = _store(folder)
-                    store.create_dir(top, recursive=True)
-                    files = [f"{top}/part-{part:06d}.{kind_}" for kind_ in ("tokens", "index")]
-                    sinks = [store.open_output_stream(f"{f}.{name}.tmp") for f in files]
-                    writer, index = Writer(sinks[0], length, kind), pa.ipc.new_stream(sinks[1], _INDEX)
-                rows = []
-                encoded = encoder(path).encode([t or "" for t in some.column("text").to_pylist()])
-                for doc, data in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
-                    ids = np.frombuffer(data + tail, "<u4")
-                    writer.add(ids.astype(kind))
-                    rows.append((doc, tokens, len(ids)))
-                    tokens += len(ids)
-                docs += len(rows)
-                index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_INDEX))
+        for some in by_size(batches, "text", AT_ONCE):
+            if writer is None:
+                kind = np.dtype("<u4" if wide or max(end, encoder(path).largest) >= 1 << 16 else "<u2")
+                store, top = _store(folder)
+                store.create_dir(top, recursive=True)
+                files = [f"{top}/part-{part:06d}.{kind_}" for kind_ in ("tokens", "index")]
+                sinks = [store.open_output_stream(f"{f}.{name}.tmp") for f in files]
+                writer, index = Writer(sinks[0], length, kind), pa.ipc.new_stream(sinks[1], _INDEX)
+            rows = []
+            encoded = encoder(path).encode([t or "" for t in some.column("text").to_pylist()])
+            for doc, data in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(data + tail, "<u4")
+                writer.add(ids.astype(kind))
+                rows.append((doc, tokens, len(ids)))
+                tokens += len(ids)
+            docs += len(rows)
+            index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_INDEX))
         if writer is not None:
             writer.close()
             index.close()
