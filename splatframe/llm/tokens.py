@@ -26,9 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of what a worker remembers of the parts and words met last: words, bare words where those begin with a space, punctuation, other parts, other first parts.
-REMEMBERED = {"words": 128 << 20, "bare": 24 << 20, "marks": 8 << 20, "known": 24 << 20, "firsts": 8 << 20}
+REMEMBERED = {"words": 96 << 20, "bare": 24 << 20, "marks": 8 << 20, "known": 24 << 20, "firsts": 8 << 20}
 #: UTF-8 bytes of texts that callers should encode at once: many, so that parts repeat.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: What is longer isn't remembered.
 LONGEST = 256
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
